@@ -32,13 +32,12 @@ def _(t: Tables):
     f"SELECT o_orderkey, {sql_rnd('o_totalprice', 2)} AS o_totalprice FROM orders",
 )
 def _(t: Tables):
+    # Every file carries a head line to skip, decimal commas and semicolons.
     path = writers.scratch_folder(t.spark, "csv")
     price = F.replace(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))
-    lines = t.orders.select(F.concat_ws(";", F.col("o_orderkey").cast("string"), price).alias("value"))
-    head = t.spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("junk", "o_orderkey;o_totalprice")])).alias("value"))
-    head.coalesce(1).union(lines).coalesce(1).write.text(path)
-    back = readers.read_delimited(t.spark, path, sep=";", decimal=",", skip_rows=1)
-    return back.select("o_orderkey", rnd("o_totalprice", 2).alias("o_totalprice"))
+    t.orders.select("o_orderkey", price.alias("price")).write.option("header", True).csv(path, sep=";")
+    back = readers.read_delimited(t.spark, path, sep=";", decimal=",", skip_rows=1, header=False)
+    return back.select(F.col("_c0").alias("o_orderkey"), rnd("_c1", 2).alias("o_totalprice"))
 
 
 @query("src2_json_scan", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
@@ -217,9 +216,9 @@ def _(t: Tables):
     return flt.apply_filters(t.documents, {"filters": {"text": spec}}).select("doc_id")
 
 
-@query("flt7_bad_regex", "SELECT page_id FROM pages WHERE contains(lower(html), '(<')")
+@query("flt7_bad_regex", "SELECT page_id FROM pages WHERE contains(lower(html), '<h2')")
 def _(t: Tables):
-    spec = {"type": "text", "use_regex": True, "search": "(<"}
+    spec = {"type": "text", "use_regex": True, "pattern": "(<", "search": "<H2"}
     return flt.apply_filters(t.pages, {"filters": {"html": spec}}).select("page_id")
 
 
