@@ -216,9 +216,9 @@ def _(t: Tables):
     return flt.apply_filters(t.documents, {"filters": {"text": spec}}).select("doc_id")
 
 
-@query("flt7_bad_regex", "SELECT page_id FROM pages WHERE contains(lower(html), '<h2')")
+@query("flt7_bad_regex", "SELECT page_id FROM pages WHERE contains(lower(html), '<li')")
 def _(t: Tables):
-    spec = {"type": "text", "use_regex": True, "pattern": "(<", "search": "<H2"}
+    spec = {"type": "text", "use_regex": True, "pattern": "(<", "search": "<LI"}
     return flt.apply_filters(t.pages, {"filters": {"html": spec}}).select("page_id")
 
 
