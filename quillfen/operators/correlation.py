@@ -18,11 +18,11 @@ _BATCH = 60  # aggregate expressions per pass, below the code generation limits
 def rank_positions(
     df: DataFrame, column: str, keys: Sequence[str] = (), descending: bool = False
 ) -> DataFrame:
-    """Per distinct value: rows before it, rows with it, dense rank.  Nulls are left out.
+    """Per distinct value: rows up to it, rows with it, dense rank.  Nulls are left out.
 
     Equal values are counted first, so a value shared by many rows is one row here.
     """
-    counted = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_ties"))
+    counted = df.dropna(subset=[*keys, column]).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_ties"))
     order = column
     if descending:
         counted, order = counted.withColumn("_down", -F.col(column)), "_down"
@@ -39,6 +39,12 @@ def average_rank(
     return keyed_join(df, places.select(*keys, column, rank.alias(name)), [*keys, column])
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson r over the rows where both are known; null when one of them does not vary."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _pair_values(df: DataFrame, pairs: Sequence[tuple[str, str]], measure) -> list:
     """One aggregate per pair, several pairs per pass."""
     out: list = []
@@ -65,7 +71,7 @@ def matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson", compl
         for c in columns:
             rows = average_rank(rows, c, f"_rank_{c}")
         rows = rows.select(*[F.col(f"_rank_{c}").alias(c) for c in columns])
-    measure = F.covar_samp if method == "covariance" else F.corr
+    measure = F.covar_samp if method == "covariance" else correlation
     pairs = list(combinations(columns, 2))
     if method == "covariance":
         pairs += [(c, c) for c in columns]
@@ -91,7 +97,7 @@ def significance(df: DataFrame, columns: Sequence[str], method: str = "pearson",
             values[(a, b)] = part["value"]
         rs = [values[p] for p in pairs]
     else:
-        rs = [_safe(v) for v in _pair_values(rows, pairs, F.corr)]
+        rs = [_safe(v) for v in _pair_values(rows, pairs, correlation)]
     out = []
     for (a, b), r, n in zip(pairs, rs, counts):
         p = correlation_p_value(r, n)
@@ -104,7 +110,7 @@ def top_pairs(
 ) -> DataFrame:
     """Strongest pairs by |r|; with business terms, pairs that name them come first."""
     pairs = list(combinations(columns, 2))
-    values = [_safe(v) for v in _pair_values(df, pairs, F.corr)]
+    values = [_safe(v) for v in _pair_values(df, pairs, correlation)]
     rows = []
     for (a, b), r in zip(pairs, values):
         if r is not None:
@@ -117,10 +123,10 @@ def top_pairs(
 def target_correlation(df: DataFrame, features: Sequence[str], target: str, n: int = 10) -> DataFrame:
     """|r| of each feature with the target, strongest first."""
     pairs = [(f, target) for f in features if f != target]
-    values = [_safe(v) for v in _pair_values(df, pairs, F.corr)]
+    values = [_safe(v) for v in _pair_values(df, pairs, correlation)]
     rows = sorted(((f, abs(v)) for (f, _), v in zip(pairs, values) if v is not None), key=lambda r: (-r[1], r[0]))
     return df.sparkSession.createDataFrame(rows[:n], "feature string, correlation_with_target double")
 
 
 def pair_correlation(x: str, y: str) -> Column:
-    return F.corr(F.col(x).cast("double"), F.col(y).cast("double"))
+    return correlation(F.col(x).cast("double"), F.col(y).cast("double"))

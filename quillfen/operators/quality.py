@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfen.operators.correlation import _pair_values, _safe
+from quillfen.operators.correlation import _pair_values, _safe, correlation
 from quillfen.operators.dates import parse_any
 from quillfen.operators.profile import Profile, duplicate_rows, outlier_table, profile, value_frequencies
 from quillfen.session import scalars
@@ -137,7 +137,7 @@ def issues(df: DataFrame, limit: int = 15, only: list[str] | None = None) -> Dat
                 add("negative_values", c.name, severity(c.stats["negatives"] / n, n), c.stats["negatives"] / n)
     if wanted("high_correlation"):
         pairs = list(combinations(numbers, 2))
-        rs = map(_safe, _pair_values(df, pairs, F.corr))
+        rs = map(_safe, _pair_values(df, pairs, correlation))
         strong = [(a, b, abs(r)) for (a, b), r in zip(pairs, rs) if r is not None and abs(r) > 0.975]
         for a, b, r in sorted(strong, key=lambda x: (-x[2], x[0], x[1]))[:5]:
             add("high_correlation", f"{a}, {b}", "medium", r)
