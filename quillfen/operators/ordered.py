@@ -254,18 +254,51 @@ class Ordered:
         return self.df.drop(BUCKET, TIE, INDEX)
 
 
+def _decayed_sums(values: np.ndarray, keep: float) -> np.ndarray:
+    """Running sums that lose the factor (1 - keep) per row, by doubling the covered span."""
+    sums, step = values.copy(), 1
+    while step < len(sums) and keep**step > 1e-20:
+        sums[step:] = sums[step:] + keep**step * sums[:-step]
+        step *= 2
+    return sums
+
+
 def _ewm_scan(data: np.ndarray, alpha: float, adjust: bool, state, what: str = "mean"):
     """Decaying weighted sums along one ordered block; `c` is the factor left on the start state."""
-    keep, c = 1.0 - alpha, 1.0
+    keep = 1.0 - alpha
     w, w2, wx, wxx = state if state is not None else (0.0, 0.0, 0.0, 0.0)
+    valid = data == data
+    if not adjust and not (valid.all() and w in (0.0, 1.0)):
+        return _ewm_loop(data, alpha, (w, w2, wx, wxx), what)
+    new = np.where(valid, 1.0 if adjust else alpha, 0.0)
+    if not adjust and w == 0.0 and len(new):
+        new[0] = 1.0  # the first value carries the whole weight
+    x = np.where(valid, data, 0.0)
+    left = keep ** np.arange(1, len(data) + 1)
+    ws = _decayed_sums(new, keep) + w * left
+    w2s = _decayed_sums(new * new, keep * keep) + w2 * left * left
+    wxs = _decayed_sums(new * x, keep) + wx * left
+    wxxs = _decayed_sums(new * x * x, keep) + wxx * left
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = wxs / ws
+        spread = np.maximum(0.0, wxxs / ws - mean * mean) * ws * ws / (ws * ws - w2s)
+        out = mean if what == "mean" else np.where(ws * ws - w2s > 1e-12 * ws * ws, np.sqrt(spread), np.nan)
+    if not len(data):
+        return out, (w, w2, wx, wxx), 1.0
+    return out, (ws[-1], w2s[-1], wxs[-1], wxxs[-1]), float(left[-1])
+
+
+def _ewm_loop(data: np.ndarray, alpha: float, state, what: str):
+    """The unadjusted form with gaps: weights are renewed at every known value."""
+    keep, c = 1.0 - alpha, 1.0
+    w, w2, wx, wxx = state
     out = np.full(len(data), np.nan)
     for i, x in enumerate(data):
         w, w2, wx, wxx, c = w * keep, w2 * keep * keep, wx * keep, wxx * keep, c * keep
         if x == x:
-            new = 1.0 if adjust or w == 0.0 else alpha
+            new = 1.0 if w == 0.0 else alpha
             w, w2, wx, wxx = w + new, w2 + new * new, wx + new * x, wxx + new * x * x
-            if not adjust:
-                w, w2, wx, wxx, c = 1.0, w2 / (w * w), wx / w, wxx / w, c / w
+            w, w2, wx, wxx, c = 1.0, w2 / (w * w), wx / w, wxx / w, c / w
         if w:
             if what == "mean":
                 out[i] = wx / w

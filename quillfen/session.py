@@ -56,11 +56,6 @@ def scalars(df: DataFrame, **aggregates: Column) -> dict:
     return row.asDict() if row is not None else {}
 
 
-def fits(df: DataFrame, limit: int) -> bool:
-    """True when df has at most `limit` rows; stops counting beyond that."""
-    return df.limit(limit + 1).count() <= limit if limit < 1_000_000 else df.count() <= limit
-
-
 def rounded(column: Column, digits: int) -> Column:
     """Half-to-even rounding of a double, as NumPy does it."""
     scale = float(10**digits)
