@@ -11,7 +11,6 @@ from quillfen.functions import calc as c
 from quillfen.operators import calc as op
 from quillfen.plans.registry import Tables, moment, query, rnd, sql_rnd
 
-AS_OF = F.lit("2002-01-01").cast("timestamp_ntz")
 AS_OF_SQL = "TIMESTAMP '2002-01-01'"
 
 
@@ -45,10 +44,22 @@ def derived(name: str, table: str, key: str, build: Callable[[DataFrame], DataFr
         return finish(build(getattr(t, table)), key, digits)
 
 
+class Values:
+    """The bound columns, built when a query runs."""
+
+    key = property(lambda self: F.col("o_orderkey"))
+    price = property(lambda self: F.col("o_totalprice"))
+    cost = property(lambda self: (self.key % 1000 * 100).cast("double"))
+    later = property(lambda self: F.col("o_orderdate") + F.make_dt_interval((self.key % 90).cast("int"), F.lit(5)))
+    score = property(lambda self: self.key % 101)
+    gaps = property(lambda self: F.when(F.col("event_id") % 3 > 0, F.col("value")))
+    as_of = property(lambda self: F.lit("2002-01-01").cast("timestamp_ntz"))
+
+
+v = Values()
+
 # Bindings: revenue = o_totalprice, cost-like values come from the keys.
 O, E, P = ("orders", "o_orderkey"), ("events", "event_id"), ("part", "p_partkey")
-K, PRICE = F.col("o_orderkey"), F.col("o_totalprice")
-COST = (K % 1000 * 100).cast("double")
 COST_SQL = "(o_orderkey % 1000 * 100)::DOUBLE"
 EV = "ts, event_id"
 EVENT_ORDER = ["ts", "event_id"]
@@ -64,34 +75,34 @@ def change(new: str, old: str) -> str:
 
 # 1-10 time series
 derived("1_moving_average", *E, lambda d: op.moving_average(d, "value", "result", EVENT_ORDER), f"AVG(value) OVER (ORDER BY {EV} ROWS 2 PRECEDING)", 4)
-plain("3_year_over_year", *O, lambda: c.year_over_year_growth(PRICE, COST), change("o_totalprice", COST_SQL), 4)
+plain("3_year_over_year", *O, lambda: c.year_over_year_growth(v.price, v.cost), change("o_totalprice", COST_SQL), 4)
 derived("4_month_over_month", *E, lambda d: op.change(d, "value", "result", EVENT_ORDER), f"value - LAG(value) OVER (ORDER BY {EV})", 4)
 derived("5_cumulative_sum", *E, lambda d: op.cumulative_sum(d, "value", "result", EVENT_ORDER), f"SUM(value) OVER (ORDER BY {EV})", 3)
 derived("6_contribution", *E, lambda d: op.contribution(d, "value", "result"), "value / SUM(value) OVER () * 100", 6)
 derived("7_daily_returns", *E, lambda d: op.returns(d, "value", "result", EVENT_ORDER), f"(value / LAG(value) OVER (ORDER BY {EV}) - 1) * 100", 3)
 derived("8_rolling_sum", *E, lambda d: op.rolling_sum(d, "value", "result", EVENT_ORDER), f"SUM(value) OVER (ORDER BY {EV} ROWS 6 PRECEDING)", 4)
 derived(
-    "9_seasonality_index", *O, lambda d: op.seasonality_index(d.withColumn("last", COST), "o_totalprice", "last", "o_orderdate", "result"),
+    "9_seasonality_index", *O, lambda d: op.seasonality_index(d.withColumn("last", v.cost), "o_totalprice", "last", "o_orderdate", "result"),
     f"(o_totalprice / AVG({COST_SQL}) OVER (PARTITION BY month(o_orderdate)) - 1) * 100", 5,
 )
-plain("10_days_since_activity", *O, lambda: c.days_since("o_orderdate", AS_OF), f"datediff('day', o_orderdate, {AS_OF_SQL})")
+plain("10_days_since_activity", *O, lambda: c.days_since("o_orderdate", v.as_of), f"datediff('day', o_orderdate, {AS_OF_SQL})")
 
 # 11-22 finance
-plain("11_profit_margin", *O, lambda: c.profit_margin(PRICE, COST), f"round_even((o_totalprice - {COST_SQL}) / o_totalprice * 100, 2)", 2)
-plain("12_roi", *O, lambda: c.return_on_investment(PRICE, COST), f"round_even({change('o_totalprice', COST_SQL)}, 2)", 2)
-plain("13_cagr", *O, lambda: c.cagr(PRICE, COST, K % 7 + 1), f"(POW({div('o_totalprice', COST_SQL)}, 1.0::DOUBLE / (o_orderkey % 7 + 1)) - 1) * 100", 5)
-plain("14_markup", *O, lambda: c.markup(PRICE, COST), f"round_even({change('o_totalprice', COST_SQL)}, 2)", 2)
-plain("15_discount_percentage", *O, lambda: c.discount_percentage(COST, PRICE), f"round_even({div(f'{COST_SQL} - o_totalprice', COST_SQL)} * 100, 2)", 2)
-plain("16_lifetime_value", *O, lambda: c.customer_lifetime_value(PRICE, K % 12, K % 5), "o_totalprice * (o_orderkey % 12) * (o_orderkey % 5)", 4)
-plain("17_acquisition_cost", *O, lambda: c.customer_acquisition_cost(PRICE, K % 9), div("o_totalprice", "o_orderkey % 9"), 4)
+plain("11_profit_margin", *O, lambda: c.profit_margin(v.price, v.cost), f"round_even((o_totalprice - {COST_SQL}) / o_totalprice * 100, 2)", 2)
+plain("12_roi", *O, lambda: c.return_on_investment(v.price, v.cost), f"round_even({change('o_totalprice', COST_SQL)}, 2)", 2)
+plain("13_cagr", *O, lambda: c.cagr(v.price, v.cost, v.key % 7 + 1), f"(POW({div('o_totalprice', COST_SQL)}, 1.0::DOUBLE / (o_orderkey % 7 + 1)) - 1) * 100", 5)
+plain("14_markup", *O, lambda: c.markup(v.price, v.cost), f"round_even({change('o_totalprice', COST_SQL)}, 2)", 2)
+plain("15_discount_percentage", *O, lambda: c.discount_percentage(v.cost, v.price), f"round_even({div(f'{COST_SQL} - o_totalprice', COST_SQL)} * 100, 2)", 2)
+plain("16_lifetime_value", *O, lambda: c.customer_lifetime_value(v.price, v.key % 12, v.key % 5), "o_totalprice * (o_orderkey % 12) * (o_orderkey % 5)", 4)
+plain("17_acquisition_cost", *O, lambda: c.customer_acquisition_cost(v.price, v.key % 9), div("o_totalprice", "o_orderkey % 9"), 4)
 plain(
-    "18_ltv_cac", *O, lambda: c.ltv_cac_ratio(PRICE, K % 12, K % 5, COST, K % 9),
+    "18_ltv_cac", *O, lambda: c.ltv_cac_ratio(v.price, v.key % 12, v.key % 5, v.cost, v.key % 9),
     div("o_totalprice * (o_orderkey % 12) * (o_orderkey % 5)", div(COST_SQL, "o_orderkey % 9")), 4,
 )
-plain("19_unit_contribution", *O, lambda: c.unit_contribution(PRICE, COST), f"o_totalprice - {COST_SQL}", 4)
-plain("20_break_even", *O, lambda: c.break_even_units(COST, F.lit(50), K % 51), div(COST_SQL, "50 - o_orderkey % 51"), 4)
-plain("21_conversion_rate", *O, lambda: c.conversion_rate(K % 7, K % 11), f"COALESCE(round_even({div('o_orderkey % 7', 'o_orderkey % 11')} * 100, 2), 0)", 2)
-plain("22_order_value", *O, lambda: c.average_order_value(PRICE, K % 11), div("o_totalprice", "o_orderkey % 11"), 4)
+plain("19_unit_contribution", *O, lambda: c.unit_contribution(v.price, v.cost), f"o_totalprice - {COST_SQL}", 4)
+plain("20_break_even", *O, lambda: c.break_even_units(v.cost, F.lit(50), v.key % 51), div(COST_SQL, "50 - o_orderkey % 51"), 4)
+plain("21_conversion_rate", *O, lambda: c.conversion_rate(v.key % 7, v.key % 11), f"COALESCE(round_even({div('o_orderkey % 7', 'o_orderkey % 11')} * 100, 2), 0)", 2)
+plain("22_order_value", *O, lambda: c.average_order_value(v.price, v.key % 11), div("o_totalprice", "o_orderkey % 11"), 4)
 
 # 23-33 statistics
 derived("23_z_score", *E, lambda d: op.z_score(d, "value", "result"), "(value - AVG(value) OVER ()) / STDDEV_SAMP(value) OVER ()", 6)
@@ -109,16 +120,15 @@ plain("28_log", *E, lambda: c.log_transform("value"), "LN(value + 1)", 6)
 plain("29_square_root", *E, lambda: c.square_root("value"), "SQRT(value)", 6)
 derived("30_top_performer", *E, lambda d: op.top_performer(d, "value", "result"), "value >= (SELECT quantile_cont(value, 0.8) FROM events)")
 derived("31_bottom_performer", *E, lambda d: op.bottom_performer(d, "value", "result"), "value <= (SELECT quantile_cont(value, 0.1) FROM events)")
-plain("32_change_from_baseline", *O, lambda: c.change_from_baseline(PRICE, COST), f"round_even({change('o_totalprice', COST_SQL)}, 2)", 2)
+plain("32_change_from_baseline", *O, lambda: c.change_from_baseline(v.price, v.cost), f"round_even({change('o_totalprice', COST_SQL)}, 2)", 2)
 derived("33_rolling_volatility", *E, lambda d: op.rolling_volatility(d, "value", "result", EVENT_ORDER), f"STDDEV_SAMP(value) OVER (ORDER BY {EV} ROWS 19 PRECEDING)", 4)
 
 # 34-46 dates
-LATER = F.col("o_orderdate") + F.make_dt_interval((K % 90).cast("int"), F.lit(5))
 LATER_SQL = "(o_orderdate + to_days((o_orderkey % 90)::INTEGER) + INTERVAL 5 HOUR)"
-plain("34_age", *O, lambda: c.age_years("o_orderdate", AS_OF), f"datediff('day', o_orderdate, {AS_OF_SQL}) / 365.25::DOUBLE", 6)
-plain("35_days_between", *O, lambda: c.days_between("o_orderdate", LATER), f"datediff('day', o_orderdate, {LATER_SQL})")
+plain("34_age", *O, lambda: c.age_years("o_orderdate", v.as_of), f"datediff('day', o_orderdate, {AS_OF_SQL}) / 365.25::DOUBLE", 6)
+plain("35_days_between", *O, lambda: c.days_between("o_orderdate", v.later), f"datediff('day', o_orderdate, {LATER_SQL})")
 plain(
-    "36_business_days", *O, lambda: c.business_days("o_orderdate", LATER),
+    "36_business_days", *O, lambda: c.business_days("o_orderdate", v.later),
     "(SELECT COUNT(*) FILTER (WHERE isodow(o_orderdate + to_days(i::INTEGER)) < 6) FROM range(o_orderkey % 90) r(i))",
 )
 plain("37_year_month", *O, lambda: c.year_month("o_orderdate"), "strftime(o_orderdate, '%Y-%m')")
@@ -127,7 +137,7 @@ plain("39_weekend", *O, lambda: c.is_weekend("o_orderdate"), "isodow(o_orderdate
 plain("40_days_until_month_end", *O, lambda: c.days_until_month_end("o_orderdate"), "datediff('day', o_orderdate, last_day(o_orderdate)::TIMESTAMP)")
 plain("41_quarter", *O, lambda: c.calendar_quarter("o_orderdate"), "quarter(o_orderdate)")
 plain("42_fiscal_quarter", *O, lambda: c.fiscal_quarter("o_orderdate"), "((month(o_orderdate) + 8) % 12) // 3 + 1")
-plain("43_hours_worked", *O, lambda: c.hours_worked("o_orderdate", LATER), "(o_orderkey % 90) * 24 + 5", 4)
+plain("43_hours_worked", *O, lambda: c.hours_worked("o_orderdate", v.later), "(o_orderkey % 90) * 24 + 5", 4)
 plain("44_days_since_event", *E, lambda: c.days_since("ts", F.lit("2024-03-01 12:00:00").cast("timestamp_ntz")), "CAST(floor((epoch_us(TIMESTAMP '2024-03-01 12:00:00') - epoch_us(ts)) / 86400e6) AS BIGINT)")
 plain("45_week_number", *O, lambda: c.week_number("o_orderdate"), "week(o_orderdate)")
 plain("46_month_end", *O, lambda: c.is_month_end("o_orderdate"), "o_orderdate::DATE = last_day(o_orderdate)")
@@ -162,31 +172,31 @@ derived("68_group_average", *E, lambda d: op.group_average(d, "value", G, "resul
 derived("69_group_top", *E, lambda d: op.group_top(d, "value", G, "result"), f"RANK() {W} ORDER BY value DESC) + (COUNT(*) OVER (PARTITION BY event_type, value) - 1) / 2 <= 3")
 
 # 70-80 rules
-SCORE, SCORE_SQL = K % 101, "(o_orderkey % 101)"
-plain("70_pass_fail", *O, lambda: c.pass_fail(SCORE), f"CASE WHEN {SCORE_SQL} > 50 THEN 'Pass' ELSE 'Fail' END")
-plain("71_letter_grade", *O, lambda: c.letter_grade(SCORE), f"CASE WHEN {SCORE_SQL} >= 90 THEN 'A' WHEN {SCORE_SQL} >= 80 THEN 'B' WHEN {SCORE_SQL} >= 70 THEN 'C' ELSE 'F' END")
-plain("72_any_condition", *O, lambda: c.any_true(K % 2 == 0, F.nullif(K % 3, F.lit(1)) == 0), "(o_orderkey % 2 = 0) OR (o_orderkey % 3 = 0)")
+SCORE_SQL = "(o_orderkey % 101)"
+plain("70_pass_fail", *O, lambda: c.pass_fail(v.score), f"CASE WHEN {SCORE_SQL} > 50 THEN 'Pass' ELSE 'Fail' END")
+plain("71_letter_grade", *O, lambda: c.letter_grade(v.score), f"CASE WHEN {SCORE_SQL} >= 90 THEN 'A' WHEN {SCORE_SQL} >= 80 THEN 'B' WHEN {SCORE_SQL} >= 70 THEN 'C' ELSE 'F' END")
+plain("72_any_condition", *O, lambda: c.any_true(v.key % 2 == 0, F.nullif(v.key % 3, F.lit(1)) == 0), "(o_orderkey % 2 = 0) OR (o_orderkey % 3 = 0)")
 plain("73_all_conditions", *O, lambda: c.all_equal("F", "o_orderstatus", F.nullif("o_orderstatus", F.lit("P"))), "o_orderstatus = 'F'")
 plain("74_recently_active", *O, lambda: c.recently_active("o_orderdate", F.lit("2001-08-15").cast("timestamp_ntz")), "datediff('day', o_orderdate, TIMESTAMP '2001-08-15') <= 30")
-plain("75_range_check", *O, lambda: c.within_range(PRICE, COST, COST * 2), f"o_totalprice BETWEEN {COST_SQL} AND {COST_SQL} * 2")
-plain("76_weighted_score", *O, lambda: c.weighted_score(K % 10, K % 20, K % 30), "round_even((o_orderkey % 10) * 0.4::DOUBLE + (o_orderkey % 20) * 0.3::DOUBLE + (o_orderkey % 30) * 0.3::DOUBLE, 2)", 2)
-plain("77_urgency_score", *O, lambda: c.urgency_score(K % 10, K % 20, K % 30), "round_even((o_orderkey % 10) * 0.5::DOUBLE + (o_orderkey % 20) * 0.3::DOUBLE + (o_orderkey % 30) * 0.2::DOUBLE, 2)", 2)
-plain("78_tier", *O, lambda: c.tier(SCORE), f"CASE WHEN {SCORE_SQL} = 0 THEN NULL WHEN {SCORE_SQL} <= 60 THEN 'D' WHEN {SCORE_SQL} <= 80 THEN 'C' WHEN {SCORE_SQL} <= 90 THEN 'B' ELSE 'A' END")
-plain("79_inverted", *O, lambda: c.inverted(K % 2 == 0), "o_orderkey % 2 <> 0")
+plain("75_range_check", *O, lambda: c.within_range(v.price, v.cost, v.cost * 2), f"o_totalprice BETWEEN {COST_SQL} AND {COST_SQL} * 2")
+plain("76_weighted_score", *O, lambda: c.weighted_score(v.key % 10, v.key % 20, v.key % 30), "round_even((o_orderkey % 10) * 0.4::DOUBLE + (o_orderkey % 20) * 0.3::DOUBLE + (o_orderkey % 30) * 0.3::DOUBLE, 2)", 2)
+plain("77_urgency_score", *O, lambda: c.urgency_score(v.key % 10, v.key % 20, v.key % 30), "round_even((o_orderkey % 10) * 0.5::DOUBLE + (o_orderkey % 20) * 0.3::DOUBLE + (o_orderkey % 30) * 0.2::DOUBLE, 2)", 2)
+plain("78_tier", *O, lambda: c.tier(v.score), f"CASE WHEN {SCORE_SQL} = 0 THEN NULL WHEN {SCORE_SQL} <= 60 THEN 'D' WHEN {SCORE_SQL} <= 80 THEN 'C' WHEN {SCORE_SQL} <= 90 THEN 'B' ELSE 'A' END")
+plain("79_inverted", *O, lambda: c.inverted(v.key % 2 == 0), "o_orderkey % 2 <> 0")
 plain("80_condition_count", *O, lambda: c.equals_as_int("o_orderstatus", "F"), "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END::BIGINT")
 
 # 81-92 arithmetic
-plain("81_percentage_change", *O, lambda: c.percentage_change(PRICE, COST), f"COALESCE(round_even({change('o_totalprice', COST_SQL)}, 2), 0)", 2)
-plain("82_ratio", *O, lambda: c.safe_ratio(PRICE, K % 10), div("o_totalprice", "o_orderkey % 10"), 4)
+plain("81_percentage_change", *O, lambda: c.percentage_change(v.price, v.cost), f"COALESCE(round_even({change('o_totalprice', COST_SQL)}, 2), 0)", 2)
+plain("82_ratio", *O, lambda: c.safe_ratio(v.price, v.key % 10), div("o_totalprice", "o_orderkey % 10"), 4)
 derived("83_weighted_average", "lineitem", "l_linenumber", lambda d: op.weighted_average(d, "l_extendedprice", "l_quantity", "result").select("l_linenumber", "result").distinct(), "(SELECT SUM(l_extendedprice * l_quantity) / SUM(l_quantity) FROM lineitem)", 4, "(SELECT DISTINCT l_linenumber FROM lineitem)")
 derived("84_geometric_mean", "lineitem", "l_linenumber", lambda d: op.geometric_mean(d, "l_tax", "result").select("l_linenumber", "result").distinct(), "(SELECT EXP(AVG(LN(1 + l_tax))) - 1 FROM lineitem)", 8, "(SELECT DISTINCT l_linenumber FROM lineitem)")
-plain("85_compound_interest", *O, lambda: c.compound_interest(PRICE, F.lit(0.05), F.lit(12), K % 10), "o_totalprice * POW(1 + 0.05::DOUBLE / 12, 12 * (o_orderkey % 10))", 3)
-plain("86_distance", *O, lambda: c.euclidean_distance(K % 10, K % 11, K % 12, K % 13), "SQRT(POW(o_orderkey % 12 - o_orderkey % 10, 2) + POW(o_orderkey % 13 - o_orderkey % 11, 2))", 6)
-plain("87_round_to_multiple", *O, lambda: c.round_to(PRICE), "round_even(o_totalprice / 5, 0) * 5", 2)
-plain("88_ceiling_to_multiple", *O, lambda: c.ceil_to(PRICE), "CEIL(o_totalprice / 10) * 10", 2)
-plain("89_floor_to_multiple", *O, lambda: c.floor_to(PRICE), "FLOOR(o_totalprice / 100) * 100", 2)
-plain("90_absolute_difference", *O, lambda: c.absolute_difference(PRICE, COST), f"ABS(o_totalprice - {COST_SQL})", 4)
-plain("91_sign", *O, lambda: c.sign(PRICE - COST * 3), f"SIGN(o_totalprice - {COST_SQL} * 3)", 1)
+plain("85_compound_interest", *O, lambda: c.compound_interest(v.price, F.lit(0.05), F.lit(12), v.key % 10), "o_totalprice * POW(1 + 0.05::DOUBLE / 12, 12 * (o_orderkey % 10))", 3)
+plain("86_distance", *O, lambda: c.euclidean_distance(v.key % 10, v.key % 11, v.key % 12, v.key % 13), "SQRT(POW(o_orderkey % 12 - o_orderkey % 10, 2) + POW(o_orderkey % 13 - o_orderkey % 11, 2))", 6)
+plain("87_round_to_multiple", *O, lambda: c.round_to(v.price), "round_even(o_totalprice / 5, 0) * 5", 2)
+plain("88_ceiling_to_multiple", *O, lambda: c.ceil_to(v.price), "CEIL(o_totalprice / 10) * 10", 2)
+plain("89_floor_to_multiple", *O, lambda: c.floor_to(v.price), "FLOOR(o_totalprice / 100) * 100", 2)
+plain("90_absolute_difference", *O, lambda: c.absolute_difference(v.price, v.cost), f"ABS(o_totalprice - {COST_SQL})", 4)
+plain("91_sign", *O, lambda: c.sign(v.price - v.cost * 3), f"SIGN(o_totalprice - {COST_SQL} * 3)", 1)
 plain("92_logit", "lineitem", "l_orderkey", lambda: c.logit("l_discount"), "CASE WHEN l_discount > 0 THEN LN(l_discount / (1 - l_discount)) END", 6)
 
 # 93-103 indicators and scores
@@ -234,29 +244,28 @@ derived(
     "99_purchase_frequency", *O, lambda d: op.days_since_previous(d, "o_orderdate", "result", ["o_orderdate", "o_orderkey"], ["o_custkey"]),
     "datediff('day', LAG(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), o_orderdate)",
 )
-plain("100_recency_score", *O, lambda: c.recency_score("o_orderdate", AS_OF), f"1.0::DOUBLE / (datediff('day', o_orderdate, {AS_OF_SQL}) + 1)", 8)
-plain("101_rfm_score", *O, lambda: c.rfm_score(K % 5, K % 4, K % 3), "round_even((o_orderkey % 5) * 0.4::DOUBLE + (o_orderkey % 4) * 0.3::DOUBLE + (o_orderkey % 3) * 0.3::DOUBLE, 2)", 2)
-plain("102_churn_risk", *O, lambda: c.churn_risk(K % 50, K % 4, K % 2), "round_even((o_orderkey % 50) * 0.5::DOUBLE + (o_orderkey % 4) * 0.3::DOUBLE + (1 - o_orderkey % 2) * 0.2::DOUBLE, 2)", 2)
-plain("103_cohort_retention", *O, lambda: c.cohort_retention(K % 8, K % 9), f"{div('o_orderkey % 8', 'o_orderkey % 9')} * 100", 5)
+plain("100_recency_score", *O, lambda: c.recency_score("o_orderdate", v.as_of), f"1.0::DOUBLE / (datediff('day', o_orderdate, {AS_OF_SQL}) + 1)", 8)
+plain("101_rfm_score", *O, lambda: c.rfm_score(v.key % 5, v.key % 4, v.key % 3), "round_even((o_orderkey % 5) * 0.4::DOUBLE + (o_orderkey % 4) * 0.3::DOUBLE + (o_orderkey % 3) * 0.3::DOUBLE, 2)", 2)
+plain("102_churn_risk", *O, lambda: c.churn_risk(v.key % 50, v.key % 4, v.key % 2), "round_even((o_orderkey % 50) * 0.5::DOUBLE + (o_orderkey % 4) * 0.3::DOUBLE + (1 - o_orderkey % 2) * 0.2::DOUBLE, 2)", 2)
+plain("103_cohort_retention", *O, lambda: c.cohort_retention(v.key % 8, v.key % 9), f"{div('o_orderkey % 8', 'o_orderkey % 9')} * 100", 5)
 
 # 104-115 cleaning
-GAPS = F.when(F.col("event_id") % 3 > 0, F.col("value"))
 GAPS_SQL = "(CASE WHEN event_id % 3 > 0 THEN value END)"
-derived("104_median_imputed", *E, lambda d: op.median_imputed(d.withColumn("v", GAPS), "v", "result"), f"COALESCE({GAPS_SQL}, (SELECT MEDIAN({GAPS_SQL}) FROM events))", 4)
+derived("104_median_imputed", *E, lambda d: op.median_imputed(d.withColumn("v", v.gaps), "v", "result"), f"COALESCE({GAPS_SQL}, (SELECT MEDIAN({GAPS_SQL}) FROM events))", 4)
 derived(
     "105_winsorised", *E, lambda d: op.winsorised(d, "value", "result"),
     "GREATEST((SELECT quantile_cont(value, 0.05) FROM events), LEAST((SELECT quantile_cont(value, 0.95) FROM events), value))", 4,
 )
 derived("106_standardised", *E, lambda d: op.standardised(d, "value", "result"), "round_even((value - AVG(value) OVER ()) / STDDEV_SAMP(value) OVER (), 3)", 3)
-plain("107_age_group", *O, lambda: c.age_group(SCORE), f"CASE WHEN {SCORE_SQL} = 0 THEN NULL WHEN {SCORE_SQL} <= 18 THEN '<18' WHEN {SCORE_SQL} <= 35 THEN '18-35' WHEN {SCORE_SQL} <= 50 THEN '36-50' WHEN {SCORE_SQL} <= 65 THEN '51-65' ELSE '65+' END")
+plain("107_age_group", *O, lambda: c.age_group(v.score), f"CASE WHEN {SCORE_SQL} = 0 THEN NULL WHEN {SCORE_SQL} <= 18 THEN '<18' WHEN {SCORE_SQL} <= 35 THEN '18-35' WHEN {SCORE_SQL} <= 50 THEN '36-50' WHEN {SCORE_SQL} <= 65 THEN '51-65' ELSE '65+' END")
 plain("108_time_of_day", *E, lambda: c.time_of_day(F.hour("ts")), "CASE WHEN hour(ts) < 6 THEN 'Night' WHEN hour(ts) < 12 THEN 'Morning' WHEN hour(ts) < 18 THEN 'Afternoon' ELSE 'Evening' END")
-plain("109_validation_flag", *O, lambda: c.out_of_bounds(PRICE, COST, COST * 4), f"o_totalprice < {COST_SQL} OR o_totalprice > {COST_SQL} * 4")
+plain("109_validation_flag", *O, lambda: c.out_of_bounds(v.price, v.cost, v.cost * 4), f"o_totalprice < {COST_SQL} OR o_totalprice > {COST_SQL} * 4")
 derived(
     "110_first_occurrence", *O, lambda d: op.first_occurrence(d, ["o_custkey", "o_orderstatus"], "result", ["o_orderkey"]),
     "ROW_NUMBER() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) = 1",
 )
-plain("111_boolean_encoding", *O, lambda: c.yes_no(F.when(K % 3 == 0, "Yes").when(K % 3 == 1, "No")), "CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END::BIGINT")
+plain("111_boolean_encoding", *O, lambda: c.yes_no(F.when(v.key % 3 == 0, "Yes").when(v.key % 3 == 1, "No")), "CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END::BIGINT")
 plain("112_one_hot", *P, lambda: c.one_hot("p_type", "PROMO"), "CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END::BIGINT")
 derived("113_max_normalised", *E, lambda d: op.max_normalised(d, "value", "result"), "value / MAX(value) OVER ()", 6)
 plain("114_temporal_order", *O, lambda: c.in_order("o_orderdate", F.lit("1998-01-01").cast("timestamp_ntz")), "TIMESTAMP '1998-01-01' >= o_orderdate")
-plain("115_type_consistency", *O, lambda: c.date_matches_text("o_orderdate", F.when(K % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("?")), "o_orderkey % 2 = 0")
+plain("115_type_consistency", *O, lambda: c.date_matches_text("o_orderdate", F.when(v.key % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("?")), "o_orderkey % 2 = 0")

@@ -13,27 +13,30 @@ from quillfen.plans.registry import Tables, query, rnd, sql_rnd
 def step_query(name: str, column, expression, sql: str) -> None:
     @query(name, f"SELECT p_partkey, {sql} AS cleaned FROM part")
     def _(t: Tables):
-        return t.part.select("p_partkey", expression(column).alias("cleaned"))
+        return t.part.select("p_partkey", expression(column()).alias("cleaned"))
+
+
+def part_name():
+    return F.col("p_name")
 
 
-NAME = F.col("p_name")
 step_query(
     "cln24_encoding",
-    F.concat(F.lit("cafÃ© â€œ"), NAME, F.lit("â€ itâ€™s â€¢ seÃ±or")), tx.fix_encoding,
+    lambda: F.concat(F.lit("cafÃ© â€œ"), part_name(), F.lit("â€ itâ€™s â€¢ seÃ±or")), tx.fix_encoding,
     """'café "' || p_name || '" it''s • señor'""",
 )
 step_query(
     "cln25_whitespace",
-    F.concat(F.lit("  \t"), F.replace(NAME, F.lit(" "), F.lit("  \n ")), F.lit(" ")), tx.squeeze, "p_name",
+    lambda: F.concat(F.lit("  \t"), F.replace(part_name(), F.lit(" "), F.lit("  \n ")), F.lit(" ")), tx.squeeze, "p_name",
 )
 step_query(
     "cln26_typos",
-    F.concat(F.lit("recieve "), NAME, F.lit(" tommorow seperate recieved tomorow.")), tx.fix_typos,
+    lambda: F.concat(F.lit("recieve "), part_name(), F.lit(" tommorow seperate recieved tomorow.")), tx.fix_typos,
     "'receive ' || p_name || ' tomorrow separate recieved tomorrow.'",
 )
 step_query(
     "cln27_abbreviations",
-    F.concat(NAME, F.lit(" St.Louis St. Paul Dept.7 Inc.")), tx.expand_abbreviations,
+    lambda: F.concat(part_name(), F.lit(" St.Louis St. Paul Dept.7 Inc.")), tx.expand_abbreviations,
     "p_name || ' StreetLouis St. Paul Department7 Inc.'",
 )
 
@@ -165,10 +168,10 @@ def _(t: Tables):
 def misspelt(t: Tables):
     key = F.col("p_partkey")
     label = (
-        F.when(key % 5 == 1, F.upper("p_name")).when(key % 5 == 2, F.concat(F.lit(" "), F.replace(NAME, F.lit(" "), F.lit("  "))))
-        .when(key % 5 == 3, F.concat(F.substring("p_name", 1, 3), F.substr(NAME, F.lit(5))))
+        F.when(key % 5 == 1, F.upper("p_name")).when(key % 5 == 2, F.concat(F.lit(" "), F.replace(part_name(), F.lit(" "), F.lit("  "))))
+        .when(key % 5 == 3, F.concat(F.substring("p_name", 1, 3), F.substr(part_name(), F.lit(5))))
         .when(key % 5 == 4, F.concat("p_name", F.lit(" Inc")))
-        .otherwise(NAME)
+        .otherwise(part_name())
     )
     return t.part.select("p_partkey", label.alias("label"))
 
