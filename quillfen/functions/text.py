@@ -54,11 +54,12 @@ def squeeze(text: Column) -> Column:
 
 def _replace_words(text: Column, words, tail: str) -> Column:
     """Whole-word replacements, tried only on texts that hold one of the words."""
-    fixed = text
+    fixed, some = text, F.lit(False)
     for word, new in words:
         fixed = F.regexp_replace(fixed, rf"(?U)\b{word}{tail}\b", new)
-    some = "|".join(word for word, _ in words)
-    return F.when(text.rlike(rf"(?U)\b(?:{some}){tail}\b"), fixed).otherwise(text)
+        for spelling in {word.replace("m?", ""), word.replace("?", "")}:
+            some = some | text.contains(spelling + tail.replace("\\", ""))
+    return F.when(some, fixed).otherwise(text)
 
 
 def fix_typos(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillfen.operators.dates import parse_any
-from quillfen.operators.ingest import date_columns, numeric_columns, text_columns, type_group
+from quillfen.operators.ingest import date_columns, numeric_columns, parse_number, text_columns, type_group
 from quillfen.operators.keyed import keyed_join
 from quillfen.operators.ordered import INDEX, Ordered
 from quillfen.operators.profile import adjusted_skewness, plain_columns, value_frequencies
@@ -241,7 +241,7 @@ def to_boolean(column: Column) -> Column:
 
 
 def to_number(column: Column) -> Column:
-    return F.trim(column.cast("string")).try_cast("double")
+    return parse_number(column.cast("string"))
 
 
 def currency_to_number(column: Column) -> Column:
@@ -254,7 +254,8 @@ def percentage_to_number(column: Column) -> Column:
 
 def _type_rates(c: str, group: str) -> dict[str, Column]:
     column = F.col(f"`{c}`")
-    text, number = column.cast("string"), to_number(column)
+    text = column.cast("string")
+    number = column.cast("double") if group == "numeric" else to_number(column)
     whole = F.bool_and(F.when(number.isNotNull(), number == F.floor(number)))
     marks = sum((F.count_if(text.rlike(m)) for m in CURRENCY_MARKS), F.lit(0))
     rates = {

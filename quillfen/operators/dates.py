@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -26,9 +27,18 @@ SHAPES = (
 _LONGEST = 40  # no format is longer; longer texts are not dates
 
 
+def _shape(fmt: str) -> str:
+    """Regular expression of the texts a format can read."""
+    shape = re.escape(fmt)
+    for token, part in (("yyyy", r"\d{4}"), ("MMMM", "[A-Za-z]{3,9}"), ("MMM", "[A-Za-z]{3}"), ("MM", r"\d{2}"),
+                        ("dd", r"\d{2}"), ("HH", r"\d{2}"), ("mm", r"\d{2}"), ("ss", r"\d{2}")):
+        shape = shape.replace(token, part)
+    return rf"^\s*{shape}\s*$"
+
+
 def parse_as(column: Column, fmt: str) -> Column:
-    short = F.when(F.length(column) <= _LONGEST, F.trim(column))
-    return F.try_to_timestamp(short, F.lit(fmt)).cast("timestamp_ntz")
+    """Only texts of the right shape are tried, because a failed parse is slow."""
+    return F.when(column.rlike(_shape(fmt)), F.try_to_timestamp(F.trim(column), F.lit(fmt))).cast("timestamp_ntz")
 
 
 def parse_generic(column: Column) -> Column:
@@ -37,8 +47,9 @@ def parse_generic(column: Column) -> Column:
 
 
 def parse_any(column: Column) -> Column:
-    """First format that fits."""
-    return F.coalesce(*[parse_as(column, f) for f in FORMATS], parse_generic(column))
+    """First format that fits, among texts short enough to be dates and with a digit."""
+    some = (F.length(column) <= _LONGEST) & column.rlike(r"\d")
+    return F.when(some, F.coalesce(*[parse_as(column, f) for f in FORMATS], parse_generic(column)))
 
 
 def detect_date_columns(df: DataFrame, share: float = 0.3) -> list[str]:

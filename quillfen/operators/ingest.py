@@ -90,6 +90,15 @@ def parse_timestamp(column: Column) -> Column:
     return column.try_cast("timestamp_ntz")
 
 
+# Texts of this shape are numbers; others are not tried, because a failed parse is slow.
+NUMBER_SHAPE = r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity|nan)\s*$"
+
+
+def parse_number(column: Column) -> Column:
+    """Text as a double, null where it is not a number."""
+    return F.when(column.rlike(NUMBER_SHAPE), F.trim(column).try_cast("double"))
+
+
 def cast_columns(df: DataFrame, targets: dict[str, str]) -> DataFrame:
     """Cast to int64 / float64 / string / boolean / datetime / category; bad values become null."""
     out = {}
@@ -97,10 +106,12 @@ def cast_columns(df: DataFrame, targets: dict[str, str]) -> DataFrame:
         if name not in df.columns:
             continue
         column = F.col(name)
+        is_text = isinstance(df.schema[name].dataType, T.StringType)
+        number = parse_number(column) if is_text else column.try_cast("double")
         if target == "int64":
-            out[name] = column.try_cast("double").try_cast("bigint")
+            out[name] = number.try_cast("bigint")
         elif target == "float64":
-            out[name] = column.try_cast("double")
+            out[name] = number
         elif target in ("string", "category", "object"):
             out[name] = column.cast("string")
         elif target == "boolean":

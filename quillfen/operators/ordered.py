@@ -98,27 +98,21 @@ class Ordered:
         return self.running({name: F.lit(1).cast("long")})
 
     def _valid(self, columns: dict[str, Column], forward: bool) -> Ordered:
-        if forward:
-            frame = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            pick = F.last
-        else:
-            frame = self._window().rowsBetween(Window.currentRow, Window.unboundedFollowing)
-            pick = F.first
-        out = self.df.select("*", *[pick(c, ignorenulls=True).over(frame).alias(n) for n, c in columns.items()])
+        # Backward fills walk the reversed order: a frame that grows is linear, one that shrinks is not.
+        turn = F.asc if forward else F.desc
+        grow = (Window.unboundedPreceding, Window.currentRow)
+        spec = Window.partitionBy(BUCKET, *self.keys).orderBy(*[turn(c) for c in self.order])
+        known = {n: F.last(c, ignorenulls=True).over(spec.rowsBetween(*grow)) for n, c in columns.items()}
+        out = self.df.select("*", *[c.alias(n) for n, c in known.items()])
         if self.buckets > 1:
-            by_order = F.struct(*self.order)
-            choose = F.max_by if forward else F.min_by
+            by_order, choose = F.struct(*self.order), F.max_by if forward else F.min_by
             totals = self._groups(
                 {f"_c_{n}": choose(c, F.when(c.isNotNull(), by_order)) for n, c in columns.items()}
             )
-            spec = Window.partitionBy(*self.keys).orderBy(BUCKET)
-            if forward:
-                span = spec.rowsBetween(Window.unboundedPreceding, -1)
-            else:
-                span = spec.rowsBetween(1, Window.unboundedFollowing)
+            others = Window.partitionBy(*self.keys).orderBy(turn(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
             names = [f"_c_{n}" for n in columns]
             carry = totals.select(
-                BUCKET, *self.keys, *[pick(n, ignorenulls=True).over(span).alias(n) for n in names]
+                BUCKET, *self.keys, *[F.last(n, ignorenulls=True).over(others).alias(n) for n in names]
             )
             out = self._attach(out, carry, names)
             for n in columns:

@@ -19,6 +19,7 @@ from quillfen.operators.ordered import Ordered
 from quillfen.session import EXACT_VALUES, limit_of
 
 _ACCURACY = 10_000
+_COLLECTED = 20_000  # values gathered per rank once its bracket is narrow
 
 
 def quantiles(
@@ -39,7 +40,7 @@ def quantiles(
             (c, k) for c, n in large.items() for p in probabilities
             for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))
         }
-        found = _order_statistics(df, large, sorted(ranks), limit)
+        found = _order_statistics(df, large, sorted(ranks), min(limit, _COLLECTED))
         for c, n in large.items():
             for j, p in enumerate(probabilities):
                 h = p * (n - 1)
@@ -62,16 +63,24 @@ def _order_statistics(df: DataFrame, sizes: dict, ranks: list, limit: int) -> di
         open_keys = [k for k, b in brackets.items() if b[3] > limit]
         if not open_keys:
             break
-        sketch = []
-        for i, key in enumerate(open_keys):
+        # Ranks that still share a bracket share one sketch.
+        shared: dict = {}
+        for key in open_keys:
             low, high, below, count = brackets[key]
-            p = (key[1] - below + 0.5) / count
-            slack = 2.0 / _ACCURACY
-            probs = F.array(F.lit(max(0.0, p - slack)), F.lit(min(1.0, p + slack)))
-            sketch.append(
-                F.percentile_approx(inside(key[0], low, high), probs, _ACCURACY).alias(f"s{i}")
-            )
-        cuts = df.agg(*sketch).first()
+            p, slack = (key[1] - below + 0.5) / count, 2.0 / _ACCURACY
+            shared.setdefault((key[0], low, high), {})[key] = (max(0.0, p - slack), min(1.0, p + slack))
+        sketch = [
+            F.percentile_approx(
+                inside(*group), F.array(*[F.lit(p) for pair in wanted.values() for p in pair]), _ACCURACY
+            ).alias(f"s{i}")
+            for i, (group, wanted) in enumerate(shared.items())
+        ]
+        found = df.agg(*sketch).first()
+        ends = {
+            key: (found[i][2 * j], found[i][2 * j + 1])
+            for i, wanted in enumerate(shared.values()) for j, key in enumerate(wanted)
+        }
+        cuts = [ends[key] for key in open_keys]
         checks = []
         for i, key in enumerate(open_keys):
             value = F.col(key[0]).cast("double")

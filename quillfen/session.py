@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Above these sizes an operator leaves the one-task path for its distributed one.
 ROWS_PER_TASK = "quillfen.rowsPerTask"
 EXACT_VALUES = "quillfen.exactValues"
-_DEFAULTS = {ROWS_PER_TASK: 2_000_000, EXACT_VALUES: 2_000_000}
+_DEFAULTS = {ROWS_PER_TASK: 2_000_000, EXACT_VALUES: 200_000}
 
 
 def build_session(app: str = "quillfen", master: str | None = None, **conf: str) -> SparkSession:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillfen.operators.ingest import parse_number
+
 # Tokens that mean "missing" by default.
 DEFAULT_NA = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -61,6 +63,10 @@ def _ddl(names: Iterable[str]) -> str:
     return ", ".join(f"`{n}` string" for n in names)
 
 
+def _parsed(column: Column, target: str) -> Column:
+    return parse_number(column) if target == "double" else column.try_cast(target)
+
+
 def infer_types(df: DataFrame, parse_dates: bool = True) -> DataFrame:
     """Narrowest type every non-null text value fits; found with one aggregate pass."""
     names = df.columns
@@ -70,14 +76,14 @@ def infer_types(df: DataFrame, parse_dates: bool = True) -> DataFrame:
     checks = []
     for i, n in enumerate(names):
         column = F.col(f"`{n}`")
-        fits = [F.count(column.try_cast(t)).alias(t) for t in targets]
+        fits = [F.count(_parsed(column, t)).alias(t) for t in targets]
         checks.append(F.struct(F.count(column).alias("n"), *fits).alias(f"c{i}"))
     row = df.agg(*checks).first()
     out = []
     for i, n in enumerate(names):
         counts, column = row[i], F.col(f"`{n}`")
         chosen = next((t for t in targets if counts["n"] and counts[t] == counts["n"]), None)
-        out.append((column.try_cast(chosen) if chosen else column).alias(n))
+        out.append((_parsed(column, chosen) if chosen else column).alias(n))
     return df.select(*out)
 
 
