@@ -192,7 +192,7 @@ def priced(t: Tables):
 PRICED = "(SELECT p_brand, l_extendedprice / l_quantity AS price, l_quantity AS quantity, l_extendedprice / l_quantity * l_quantity AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey)"
 METRICS = {
     "price_mean": ("AVG(price)", 4), "price_std": ("STDDEV_SAMP(price)", 4), "price_min": ("MIN(price)", 4), "price_max": ("MAX(price)", 4),
-    "quantity_sum": ("SUM(quantity)", 2), "quantity_mean": ("AVG(quantity)", 4), "quantity_std": ("STDDEV_SAMP(quantity)", 4), "revenue_sum": ("SUM(revenue)", 1),
+    "quantity_sum": ("SUM(quantity)", 2), "quantity_mean": ("AVG(quantity)", 4), "quantity_std": ("STDDEV_SAMP(quantity)", 4), "revenue_sum": ("SUM(revenue)", 2),
 }
 
 
@@ -217,7 +217,7 @@ def _(t: Tables):
 TOTALS = {
     "average_price": ("AVG(price)", 4), "price_std": ("STDDEV_SAMP(price)", 4), "min_price": ("MIN(price)", 4), "max_price": ("MAX(price)", 4), "median_price": ("MEDIAN(price)", 4),
     "price_skewness": ("SKEWNESS(price)", 5), "total_quantity": ("SUM(quantity)", 2), "average_quantity": ("AVG(quantity)", 4), "quantity_std": ("STDDEV_SAMP(quantity)", 4),
-    "total_revenue": ("SUM(revenue)", 0), "average_revenue": ("AVG(revenue)", 3), "revenue_std": ("STDDEV_SAMP(revenue)", 3), "price_quantity_correlation": ("CORR(price, quantity)", 5),
+    "total_revenue": ("SUM(revenue)", 2), "average_revenue": ("AVG(revenue)", 3), "revenue_std": ("STDDEV_SAMP(revenue)", 3), "price_quantity_correlation": ("CORR(price, quantity)", 5),
 }
 
 
@@ -232,12 +232,12 @@ def _(t: Tables):
     f"""WITH d AS (SELECT * FROM {PRICED}), q AS (SELECT quantile_cont(price, 0.25) a, quantile_cont(price, 0.5) b, quantile_cont(price, 0.75) c FROM d),
         g AS (SELECT CASE WHEN price <= a THEN 'Low' WHEN price <= b THEN 'Medium-Low' WHEN price <= c THEN 'Medium-High' ELSE 'High' END AS band, price, quantity, revenue FROM d, q),
         s AS (SELECT band, SUM(quantity) AS quantity, SUM(revenue) AS revenue, COUNT(*) AS transactions, AVG(price) AS avg_price, AVG(quantity) AS avg_quantity FROM g GROUP BY 1)
-        SELECT band, {sql_rnd('quantity', 2)} AS quantity, {sql_rnd('revenue', 1)} AS revenue, transactions, {sql_rnd('avg_price')} AS avg_price, {sql_rnd('avg_quantity')} AS avg_quantity,
+        SELECT band, {sql_rnd('quantity', 2)} AS quantity, {sql_rnd('revenue', 2)} AS revenue, transactions, {sql_rnd('avg_price')} AS avg_price, {sql_rnd('avg_quantity')} AS avg_quantity,
         s.revenue = (SELECT MAX(revenue) FROM s) AS best FROM s""",
 )
 def _(t: Tables):
     out = bi.price_bands(priced(t), "price", "quantity")
-    return out.withColumns({"quantity": rnd("quantity", 2), "revenue": rnd("revenue", 1), "avg_price": rnd("avg_price"), "avg_quantity": rnd("avg_quantity")})
+    return out.withColumns({"quantity": rnd("quantity", 2), "revenue": rnd("revenue", 2), "avg_price": rnd("avg_price"), "avg_quantity": rnd("avg_quantity")})
 
 
 # ---- A/B tests -----------------------------------------------------------------------------

@@ -313,12 +313,12 @@ def _(t: Tables):
     "ts19_cohort_overall",
     f"""WITH {MATRIX_SQL}, r AS (SELECT cohort, MAX(size) AS size, AVG(retention) AS retention, SUM(revenue) AS revenue FROM m GROUP BY 1)
         SELECT COUNT(*) AS total_cohorts, CAST(SUM(size) AS BIGINT) AS total_users, {sql_rnd('AVG(size)')} AS average_cohort_size,
-        {sql_rnd('AVG(retention)')} AS average_retention_rate, {sql_rnd('SUM(revenue)', 1)} AS total_revenue,
+        {sql_rnd('AVG(retention)')} AS average_retention_rate, {sql_rnd('SUM(revenue)', 2)} AS total_revenue,
         {sql_rnd('SUM(revenue) / SUM(size)', 2)} AS average_revenue_per_user FROM r""",
 )
 def _(t: Tables):
     out = co.overall(quarter_cells(t))
     return out.withColumns(
         {"average_cohort_size": rnd("average_cohort_size"), "average_retention_rate": rnd("average_retention_rate"),
-         "total_revenue": rnd("total_revenue", 1), "average_revenue_per_user": rnd("average_revenue_per_user", 2)}
+         "total_revenue": rnd("total_revenue", 2), "average_revenue_per_user": rnd("average_revenue_per_user", 2)}
     )
