@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillfen.operators.dates import parse_any
-from quillfen.operators.ingest import date_columns, numeric_columns, parse_number, text_columns, type_group
+from quillfen.operators.ingest import date_columns, numeric_columns, parse_boolean, parse_number, text_columns, type_group
 from quillfen.operators.keyed import keyed_join
 from quillfen.operators.ordered import INDEX, Ordered
 from quillfen.operators.profile import adjusted_skewness, plain_columns, value_frequencies
@@ -229,15 +229,12 @@ def impute(
 
 # ---- types --------------------------------------------------------------------------
 
-# Boolean tokens, currency marks.
-TRUE_TOKENS = ("true", "yes", "1", "t", "y")
-FALSE_TOKENS = ("false", "no", "0", "f", "n")
+# Currency marks.
 CURRENCY_MARKS = (r"^\$", "USD", "EUR", "£", "¥")
 
 
 def to_boolean(column: Column) -> Column:
-    token = F.lower(F.trim(column.cast("string")))
-    return F.when(token.isin(*TRUE_TOKENS), F.lit(True)).when(token.isin(*FALSE_TOKENS), F.lit(False))
+    return parse_boolean(column.cast("string"))
 
 
 def to_number(column: Column) -> Column:

@@ -46,10 +46,24 @@ def parse_generic(column: Column) -> Column:
     return F.when(F.length(column) <= _LONGEST, F.trim(column)).try_cast("timestamp_ntz")
 
 
+def _skeleton(fmt: str) -> str:
+    """Outline of the texts a format can read: digits as 9, words as a."""
+    return re.sub(r"[yMdHms]", "9", re.sub(r"M{3,4}", "a", fmt))
+
+
 def parse_any(column: Column) -> Column:
-    """First format that fits, among texts short enough to be dates and with a digit."""
-    some = (F.length(column) <= _LONGEST) & column.rlike(r"\d")
-    return F.when(some, F.coalesce(*[parse_as(column, f) for f in FORMATS], parse_generic(column)))
+    """First format that fits; the outline of a text picks the few formats worth trying."""
+    text = F.when((F.length(column) <= _LONGEST) & column.rlike(r"\d"), F.trim(column))
+    digits = F.translate(text, "012345678", "999999999")
+    outline = F.regexp_replace(digits, "[A-Za-z]+", "a")
+    choices: dict[str, list[str]] = {}
+    for fmt in FORMATS:
+        choices.setdefault(_skeleton(fmt), []).append(fmt)
+    tries = []
+    for k in range(max(map(len, choices.values()))):
+        known = F.create_map(*[F.lit(x) for s, f in choices.items() if len(f) > k for x in (s, f[k])])
+        tries.append(F.try_to_timestamp(text, F.element_at(known, outline)).cast("timestamp_ntz"))
+    return F.coalesce(*tries, parse_generic(column))
 
 
 def detect_date_columns(df: DataFrame, share: float = 0.3) -> list[str]:

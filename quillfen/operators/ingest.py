@@ -99,6 +99,16 @@ def parse_number(column: Column) -> Column:
     return F.when(column.rlike(NUMBER_SHAPE), F.trim(column).try_cast("double"))
 
 
+# Boolean tokens.
+TRUE_TOKENS = ("true", "yes", "1", "t", "y")
+FALSE_TOKENS = ("false", "no", "0", "f", "n")
+
+
+def parse_boolean(column: Column) -> Column:
+    token = F.lower(F.trim(column))
+    return F.when(token.isin(*TRUE_TOKENS), F.lit(True)).when(token.isin(*FALSE_TOKENS), F.lit(False))
+
+
 def cast_columns(df: DataFrame, targets: dict[str, str]) -> DataFrame:
     """Cast to int64 / float64 / string / boolean / datetime / category; bad values become null."""
     out = {}
@@ -115,7 +125,7 @@ def cast_columns(df: DataFrame, targets: dict[str, str]) -> DataFrame:
         elif target in ("string", "category", "object"):
             out[name] = column.cast("string")
         elif target == "boolean":
-            out[name] = column.try_cast("boolean")
+            out[name] = parse_boolean(column) if is_text else column.try_cast("boolean")
         elif target == "datetime":
             out[name] = parse_timestamp(column)
         else:

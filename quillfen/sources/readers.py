@@ -64,7 +64,15 @@ def _ddl(names: Iterable[str]) -> str:
 
 
 def _parsed(column: Column, target: str) -> Column:
-    return parse_number(column) if target == "double" else column.try_cast(target)
+    """Typed value or null; only texts of the right shape are tried, because a failed cast is slow."""
+    if target == "double":
+        return parse_number(column)
+    if target == "bigint":
+        return F.when(column.rlike(r"^\s*[+-]?\d{1,19}\s*$"), column.try_cast("bigint"))
+    if target == "boolean":
+        word = F.lower(F.trim(column))
+        return F.when(word == "true", F.lit(True)).when(word == "false", F.lit(False))
+    return column.try_cast(target)
 
 
 def infer_types(df: DataFrame, parse_dates: bool = True) -> DataFrame:
