@@ -22,11 +22,21 @@ def random_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame
 
 
 def stratified_fraction(df: DataFrame, stratum: str, fraction: float, seed: int = 42) -> DataFrame:
-    """Exactly ceil(fraction * n) rows of each stratum."""
-    hashed = df.withColumn("_hash", row_hash(df, seed))
-    sizes = df.groupBy(stratum).agg(F.ceil(F.count(F.lit(1)) * F.lit(fraction)).alias("_keep"))
-    placed = Ordered(hashed, ["_hash"], [stratum]).row_index("_place").result()
-    return keyed_join(placed, sizes, [stratum]).filter("_place <= _keep").select(*df.columns)
+    """Exactly the ceil(fraction * n) rows with the lowest hashes of each stratum.
+
+    Rows whose hash lies far above the wanted share are dropped before anything is
+    ordered; should a stratum come out short, which is checked, no row is dropped.
+    """
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+    spread = 6 * F.sqrt(F.lit(fraction * (1 - fraction)) / F.col("_n")) + 10 / F.col("_n")
+    sizes = sizes.select(stratum, F.ceil(F.col("_n") * F.lit(fraction)).alias("_keep"), (F.lit(fraction) + spread).alias("_cut"))
+    hashed = keyed_join(df.withColumn("_hash", row_hash(df, seed)), sizes, [stratum])
+    low = hashed.filter(F.col("_hash") / F.lit(2.0**64) + 0.5 <= F.col("_cut"))
+    short = low.groupBy(stratum).agg(F.count(F.lit(1)).alias("_low"))
+    missing = keyed_join(sizes, short, [stratum]).filter(F.coalesce("_low", F.lit(0)) < F.col("_keep"))
+    chosen = hashed if missing.limit(1).count() else low
+    placed = Ordered(chosen, ["_hash"], [stratum]).row_index("_place").result()
+    return placed.filter("_place <= _keep").select(*df.columns)
 
 
 def adaptive_fraction(score: float, temporal: bool) -> float:
