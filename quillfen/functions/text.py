@@ -42,32 +42,36 @@ LOWER_NAMES = ("email", "mail")
 
 
 def fix_encoding(text: Column) -> Column:
+    fixed = text
     for bad, good in MOJIBAKE:
-        text = F.replace(text, F.lit(bad), F.lit(good))
-    return text
+        fixed = F.replace(fixed, F.lit(bad), F.lit(good))
+    return F.when(text.contains("â€") | text.contains("Ã"), fixed).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
     """Trim and collapse white space."""
-    return F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", " ")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def _replace_words(text: Column, words, tail: str) -> Column:
-    """Whole-word replacements, tried only on texts that hold one of the words."""
-    fixed, some = text, F.lit(False)
     for word, new in words:
-        fixed = F.regexp_replace(fixed, rf"(?U)\b{word}{tail}\b", new)
-        for spelling in {word.replace("m?", ""), word.replace("?", "")}:
-            some = some | text.contains(spelling + tail.replace("\\", ""))
-    return F.when(some, fixed).otherwise(text)
+        text = F.regexp_replace(text, rf"(?U)\b{word}{tail}\b", new)
+    return text
 
 
 def fix_typos(text: Column) -> Column:
-    return _replace_words(text, TYPOS, "")
+    """Tried only on texts that hold one of the misspellings."""
+    some = F.lit(False)
+    for word, _ in TYPOS:
+        for spelling in sorted({word.replace("m?", ""), word.replace("?", "")}):
+            some = some | text.contains(spelling)
+    return F.when(some, _replace_words(text, TYPOS, "")).otherwise(text)
 
 
 def expand_abbreviations(text: Column) -> Column:
-    return _replace_words(text, ABBREVIATIONS, r"\.")
+    """Tried only on texts with a word character right after a dot."""
+    some = text.rlike(r"\.[\p{L}\p{N}_]")
+    return F.when(some, _replace_words(text, ABBREVIATIONS, r"\.")).otherwise(text)
 
 
 def title_case(text: Column) -> Column:
@@ -92,7 +96,8 @@ def strip_special(text: Column) -> Column:
 
 def standard_tokens(text: Column) -> Column:
     known = F.create_map(*[F.lit(x) for new, words in TOKENS.items() for w in words for x in (w, new)])
-    return F.coalesce(F.element_at(known, F.lower(text)), text)
+    longest = max(len(w) for words in TOKENS.values() for w in words)
+    return F.when(F.length(text) <= longest, F.coalesce(F.element_at(known, F.lower(text)), text)).otherwise(text)
 
 
 def steps(name: str) -> list[tuple[str, Callable[[Column], Column]]]:
