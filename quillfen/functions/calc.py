@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillfen.session import ratio, rounded
+from quillfen.session import clock_micros, ratio, rounded
 
 Value = Column | str
 
@@ -20,7 +20,7 @@ def _change(new: Value, old: Value) -> Column:
 
 def _days(later: Value, earlier: Value) -> Column:
     """Whole days between two moments, rounded down."""
-    micros = F.unix_micros(_c(later).cast("timestamp")) - F.unix_micros(_c(earlier).cast("timestamp"))
+    micros = clock_micros(_c(later)) - clock_micros(_c(earlier))
     return F.floor(micros / F.lit(86_400_000_000)).cast("long")
 
 
@@ -156,7 +156,7 @@ def fiscal_quarter(date: Value) -> Column:
 
 
 def hours_worked(start: Value, end: Value) -> Column:
-    micros = F.unix_micros(_c(end).cast("timestamp")) - F.unix_micros(_c(start).cast("timestamp"))
+    micros = clock_micros(_c(end)) - clock_micros(_c(start))
     return micros / F.lit(3.6e9)
 
 

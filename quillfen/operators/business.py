@@ -15,7 +15,7 @@ from quillfen.operators.ordered import Ordered
 from quillfen.operators.profile import adjusted_skewness
 from quillfen.operators.quantiles import cut_codes, quantiles
 from quillfen.operators.timeseries import parsed_dates
-from quillfen.session import ratio, rounded, scalars
+from quillfen.session import clock_micros, ratio, rounded, scalars
 
 # ---- RFM ---------------------------------------------------------------------------
 
@@ -52,7 +52,7 @@ _DAY = 86_400_000_000
 def rfm_metrics(df: DataFrame, customer: str, date: str, value: str) -> DataFrame:
     """Days since the last purchase (from the latest of all), purchases and spending per customer."""
     rows = parsed_dates(df, date).dropna(subset=[customer, value])
-    micros = F.unix_micros(F.col(date).cast("timestamp"))
+    micros = clock_micros(F.col(date))
     latest = scalars(rows, t=F.max(micros))["t"]
     return rows.groupBy(customer).agg(
         F.floor((F.lit(latest) - F.max(micros)) / _DAY).cast("long").alias("recency"),

@@ -16,7 +16,7 @@ from quillfen.operators.correlation import average_rank, rank_positions
 from quillfen.operators.keyed import group_values, keyed_join
 from quillfen.operators.ordered import Ordered
 from quillfen.operators.quantiles import quantiles
-from quillfen.session import ratio, rounded, scalars
+from quillfen.session import clock_micros, ratio, rounded, scalars
 
 Names = Sequence[str]
 
@@ -203,7 +203,7 @@ def first_occurrence(df: DataFrame, keys: Names, name: str, order_by: Names) ->
 
 
 def days_since_previous(df: DataFrame, date: str, name: str, order_by: Names, partition_by: Names = ()) -> DataFrame:
-    stamp = F.unix_micros(F.col(date).cast("timestamp"))
+    stamp = clock_micros(F.col(date))
 
     def gap(w):
         return F.floor((stamp - F.lag(stamp).over(w)) / F.lit(86_400_000_000)).cast("long")

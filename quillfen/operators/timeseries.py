@@ -13,7 +13,7 @@ from quillfen.operators.charts import grouped
 from quillfen.operators.ingest import NUMERIC, TEMPORAL, parse_timestamp
 from quillfen.operators.keyed import keyed_join
 from quillfen.operators.ordered import Ordered
-from quillfen.session import scalars
+from quillfen.session import clock_micros, scalars
 
 UNITS = {
     "daily": "D", "weekly": "W", "monthly": "M", "quarterly": "Q", "yearly": "Y",
@@ -121,7 +121,7 @@ def moving_averages(df: DataFrame, date: str, value: str, tie_break: Sequence[st
 
 def trend_direction(df: DataFrame, date: str, value: str) -> DataFrame:
     """Sign of the least-squares slope of value over time; needs ten points."""
-    days = F.unix_micros(F.col(date).cast("timestamp")) / 86_400e6
+    days = clock_micros(F.col(date)) / 86_400e6
     out = df.dropna(subset=[date, value]).agg(
         F.count(F.lit(1)).alias("points"), F.regr_slope(F.col(value), days).alias("slope_per_day")
     )
@@ -131,7 +131,7 @@ def trend_direction(df: DataFrame, date: str, value: str) -> DataFrame:
 
 def detect_frequency(df: DataFrame, date: str) -> str | None:
     """D, W, M, Q or Y from the most frequent step between successive dates."""
-    stamps = df.select(F.unix_micros(F.col(date).cast("timestamp")).alias("_t")).dropna()
+    stamps = df.select(clock_micros(F.col(date)).alias("_t")).dropna()
     steps = Ordered(stamps, ["_t"]).windowed({"_p": lambda w: F.lag("_t").over(w)}, 1).result()
     top = (
         steps.select((F.col("_t") - F.col("_p")).alias("step")).dropna().groupBy("step")

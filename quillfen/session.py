@@ -62,6 +62,14 @@ def rounded(column: Column, digits: int) -> Column:
     return F.rint(column.cast("double") * F.lit(scale)) / F.lit(scale)
 
 
+def clock_micros(column: Column) -> Column:
+    """Microseconds of a wall-clock time since 1970, whatever the session time zone."""
+    clock = column.cast("timestamp_ntz")
+    seconds = F.hour(clock) * 3600 + F.minute(clock) * 60
+    micros = (F.extract(F.lit("SECOND"), clock) * 1_000_000).cast("long")
+    return F.unix_date(F.to_date(clock)).cast("long") * 86_400_000_000 + seconds.cast("long") * 1_000_000 + micros
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Division that yields null instead of failing on a zero denominator."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
