@@ -36,9 +36,8 @@ def limit_of(spark: SparkSession, name: str) -> int:
     return int(spark.conf.get(name, str(_DEFAULTS[name])))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temp folder only in local mode."""
-    spark = df.sparkSession
+def ensure_checkpoint_folder(spark: SparkSession) -> None:
+    """Use the checkpoint folder the cluster names; a temp folder only in local mode."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,6 +46,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="quillfen-checkpoint-")
         context.setCheckpointDir(folder)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    ensure_checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
