@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillfen.session import ensure_checkpoint_folder
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -68,3 +71,9 @@ class BoundedMemo(dict):
             self.clear()
         self[key] = value
         return value
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder that the cluster names for checkpoints; executors and the driver share it."""
+    ensure_checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
