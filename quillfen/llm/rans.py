@@ -12,6 +12,8 @@ u64 x lanes); words u32; CRC-32 u32 of all that precedes.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
+from quillfen.llm.bpe import common_pattern
 from quillfen.llm.common import shared_folder, table, text_or_empty, worker_state
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -34,7 +37,7 @@ SCALE = 20
 LOW = np.uint64(1 << 31)
 LANES, STEPS, CHECKPOINT = 2048, 128, 64
 BLOCK_IDS = 1 << 18
-MEMO_WORDS, CHUNK_WORDS = 300_000, 200_000
+MEMO_PIECES, CHUNK_PIECES = 250_000, 200_000
 _HEAD = "<4sHHIQII"
 _HEAD_SIZE = struct.calcsize(_HEAD)
 
@@ -146,33 +149,54 @@ class Block:
 
 
 class WordIds:
-    """Ids of whole texts. The tokenizer drops white space and never looks across it, so words are encoded once."""
+    """Ids of whole texts, each distinct piece encoded by the tokenizer once.
+
+    The tokenizer normalises (NFC, lower case), splits by its own pattern and merges within pieces. Below U+0250 the
+    normal form changes nothing but ASCII capitals matter less, so such texts are split by that pattern here; any
+    other text is only split at ASCII white space, which the tokenizer drops and never looks across.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        self.memo: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        new = [w for w in set(words) if w not in self.memo]
-        made = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False) if new else []
+        splitter = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]
+        self.pieces = common_pattern(splitter["pattern"]["Regex"]).findall
+        self.beyond = re.compile("[^\x00-\u024f]").search
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, parts: set[str]) -> None:
+        if len(self.memo) > MEMO_PIECES:
+            self.memo, self.older = {}, self.memo
+        new = []
+        for part in parts - self.memo.keys():
+            known = self.older.get(part)
+            if known is None:
+                new.append(part)
+            else:
+                self.memo[part] = known
+        made = self.tokenizer.encode_batch(new, add_special_tokens=False) if new else []
         self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, made, strict=True))
 
+    def _parts(self, text: str) -> list[str]:
+        data = text.encode()
+        if self.beyond(text):
+            return [word.decode() for word in data.split()]
+        return self.pieces(data.lower().decode())  # lowers ASCII capitals only
+
     def of(self, texts: list[str], end: int) -> Iterator[bytes]:
         """The ids of every text with the end id, as little-endian unsigned 32-bit integers."""
         tail = end.to_bytes(4, "little")
-        held: list[list[bytes]] = []
+        held: list[list[str]] = []
         count = 0
         for n, text in enumerate(texts):
-            held.append(text.encode().split())  # ASCII white space only: a safe subset of what the tokenizer drops
+            held.append(self._parts(text))
             count += len(held[-1])
-            if count >= CHUNK_WORDS or n + 1 == len(texts):
-                self._learn([*chain.from_iterable(held)])
-                for words in held:
-                    yield b"".join(map(self.memo.__getitem__, words)) + tail
+            if count >= CHUNK_PIECES or n + 1 == len(texts):
+                self._learn(set().union(*held))
+                for parts in held:
+                    yield b"".join(map(self.memo.__getitem__, parts)) + tail
                 held, count = [], 0
 
 
@@ -180,27 +204,34 @@ def _words(path: str) -> WordIds:
     return worker_state(f"word_ids:{path}", lambda: WordIds(path))
 
 
-def frequencies(rows: DataFrame, path: str, end: int) -> DataFrame:
-    """(symbol, count) of the ids of column `text` of all rows, counted by partition first."""
+def frequencies(blocks: DataFrame) -> DataFrame:
+    """(symbol, count) of the ids of all raw blocks, counted by partition first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(path)
-        counts = np.zeros(max(words.size, end + 1), np.int64)
+        counts = np.zeros(0, np.int64)
         for batch in batches:
-            held: list[bytes] = []
-            for ids in chain(words.of(batch.column("text").to_pylist(), end), [None]):
-                if ids is not None:
-                    held.append(ids)
-                if held and (ids is None or len(held) == 1000):
-                    counts += np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=len(counts))
-                    held = []
+            for data in batch.column("ids"):
+                own = np.bincount(_unpacked(data.as_py()))
+                if len(own) > len(counts):
+                    counts = np.concatenate([counts, np.zeros(len(own) - len(counts), np.int64)])
+                counts[: len(own)] += own
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["symbol", "count"])
 
-    made = rows.select("text").mapInArrow(run, "symbol bigint, count bigint")
+    made = blocks.select("ids").mapInArrow(run, "symbol bigint, count bigint")
     return made.groupBy("symbol").agg(F.sum("count").alias("count"))
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each where they fit, else in four; the first byte says which."""
+    narrow = not len(ids) or int(ids.max()) < 1 << 16
+    return (b"\2" if narrow else b"\4") + ids.astype("<u2" if narrow else "<u4").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1)
+
+
 def _loaded(spark: SparkSession, folder: str) -> np.ndarray:
     """The shared table of a written folder: one entry per symbol of the vocabulary."""
     rows = spark.read.parquet(f"{folder}/table").collect()
@@ -214,34 +245,29 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     """Encode whole texts and write `table` (symbol, freq) and `blocks` below the folder, in ascending key order.
 
     Documents are range partitioned by (key, checksum of the text); nulls come first, equal keys keep together. Each
-    partition writes its blocks in order, with the position of a block in its partition and of its first id.
+    partition cuts its documents into blocks in order, with the position of a block in its partition and of its first
+    id. Texts are encoded once: the ids wait in the folder `ids` while the shared table is counted.
     """
     spark = docs.sparkSession
     own = text_or_empty(text)
     rows = docs.select(F.col(key).alias("key"), own.alias("text"))
-    counted = frequencies(rows, path, end).collect()  # one row per symbol of the vocabulary at most
-    counts = np.zeros(max((r["symbol"] for r in counted), default=0) + 1, np.int64)
-    for row in counted:
-        counts[row["symbol"]] = row["count"]
-    scaled = Frequencies.scaled(counts)
-    pairs = [(int(s), int(scaled[s])) for s in np.flatnonzero(scaled)]
-    spark.createDataFrame(pairs, "symbol bigint, freq bigint").coalesce(1).write.parquet(f"{folder}/table")
     kind = dict(rows.dtypes)["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table_ = _words(path), Frequencies(scaled)
+        words = _words(path)
         part, seq, first = TaskContext.get().partitionId(), 0, 0
         keys: list[pa.Array] = []
         held: list[bytes] = []
         count = 0
 
         def block() -> pa.RecordBatch:
-            data = encode_block([len(i) // 4 for i in held], np.frombuffer(b"".join(held), "<u4"), table_)
             own_keys = pa.concat_arrays(keys)
             lists = pa.ListArray.from_arrays(pa.array([0, len(own_keys)], pa.int32()), own_keys)
+            ids = pa.array([_packed(np.frombuffer(b"".join(held), "<u4"))], pa.binary())
+            sizes = pa.array([[len(i) // 4 for i in held]], pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([count], pa.int64()), lists, pa.array([data], pa.binary())],
-                names=["part", "seq", "first", "n_ids", "keys", "block"],
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([count], pa.int64()), lists, sizes, ids],
+                names=["part", "seq", "first", "n_ids", "keys", "sizes", "ids"],
             )
 
         for batch in batches:
@@ -256,9 +282,30 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
         if held:
             yield block()
 
+    place = f"part int, seq int, first bigint, n_ids bigint, keys array<{kind}>"
     ordered = rows.withColumn("crc", F.crc32("text")).repartitionByRange("key", "crc").sortWithinPartitions("key", "crc")
-    blocks = ordered.select("key", "text").mapInArrow(run, f"part int, seq int, first bigint, n_ids bigint, keys array<{kind}>, block binary")
-    blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
+    raw = ordered.select("key", "text").mapInArrow(run, f"{place}, sizes array<int>, ids binary")
+    raw.write.option("compression", "zstd").parquet(f"{folder}/ids")
+    raw = spark.read.parquet(f"{folder}/ids")
+
+    counted = frequencies(raw).collect()  # one row per symbol of the vocabulary at most
+    counts = np.zeros(max((r["symbol"] for r in counted), default=0) + 1, np.int64)
+    for row in counted:
+        counts[row["symbol"]] = row["count"]
+    scaled = Frequencies.scaled(counts)
+    pairs = [(int(s), int(scaled[s])) for s in np.flatnonzero(scaled)]
+    spark.createDataFrame(pairs, "symbol bigint, freq bigint").coalesce(1).write.parquet(f"{folder}/table")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_ = Frequencies(scaled)
+        for batch in batches:
+            for n in range(batch.num_rows):
+                one = batch.slice(n, 1)
+                data = encode_block(one.column("sizes")[0].as_py(), _unpacked(one.column("ids")[0].as_py()), table_)
+                columns = [one.column(k) for k in ("part", "seq", "first", "n_ids", "keys")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([data], pa.binary())], names=["part", "seq", "first", "n_ids", "keys", "block"])
+
+    raw.mapInArrow(pack, f"{place}, block binary").write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
