@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfen.llm import bpe, decontamination, multiindex, rans, sharding, simhash, toxicity
+from quillfen.llm import bpe, decontamination, multiindex, pages, privacy, rans, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.query,
+    "op3_privacy": privacy.query,
     "op4_byte_bpe": bpe.query,
     "op5_simhash": simhash.query,
     "op6_multi_index": multiindex.query,
     "op7_toxicity": toxicity.query,
     "op8_decontamination": decontamination.query,
     "op9_rans": rans.query,
+    "op10_main_text": pages.query,
 }
 
 ORACLES: dict[str, str] = {"op1_sharding": sharding.SQL}
