@@ -119,7 +119,8 @@ def disclosing_terms(rows: DataFrame, least_texts: int = LEAST_TEXTS, generalise
     joint = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("docs").alias("with_both"))
     joint = cut_lineage(joint.where(F.col("texts") >= least_texts))
     candidates = cut_lineage(joint.select("term").distinct())
-    counted = _terms(rows).join(_bounded(candidates), "term").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    # Every term is counted before it meets the candidates: the counts are folded in the scan's tasks.
+    counted = _terms(rows).groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(candidates, "term")
     degree = F.log(F.lit(float(max(total, 1))) * F.col("with_both") / (F.col("with_entity") * F.col("with_term"))) / F.log(F.lit(float(max(total, 1))) / F.col("with_entity"))
     scored = joint.join(counted, "term").join(entities, "entity").where(F.col("with_entity") < total)
     scored = scored.groupBy("term").agg(F.max(degree).alias("degree")).where(F.col("degree") >= generalise)
