@@ -13,6 +13,7 @@ u64 x lanes); words u32; CRC-32 u32 of all that precedes.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -37,7 +38,7 @@ SCALE = 20
 LOW = np.uint64(1 << 31)
 LANES, STEPS, CHECKPOINT = 2048, 128, 64
 BLOCK_IDS = 1 << 18
-MEMO_PIECES, CHUNK_PIECES = 250_000, 200_000
+MEMO_PIECES, CHUNK_PIECES = 350_000, 200_000
 _HEAD = "<4sHHIQII"
 _HEAD_SIZE = struct.calcsize(_HEAD)
 
@@ -157,6 +158,7 @@ class WordIds:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
