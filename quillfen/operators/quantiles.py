@@ -87,6 +87,7 @@ def _order_statistics(df: DataFrame, sizes: dict, ranks: list, limit: int) -> di
             checks.append(F.count_if(value < cuts[i][0]).alias(f"b{i}"))
             checks.append(F.count_if(value.between(cuts[i][0], cuts[i][1])).alias(f"n{i}"))
         counted = df.agg(*checks).first()
+        stuck: dict = {}
         for i, key in enumerate(open_keys):
             low, high, below, count = brackets[key]
             new_low, new_high, new_below, new_count = *cuts[i], counted[f"b{i}"], counted[f"n{i}"]
@@ -101,9 +102,10 @@ def _order_statistics(df: DataFrame, sizes: dict, ranks: list, limit: int) -> di
                 done[key] = new_low
                 del brackets[key]
             elif new_count >= count and low is not None:
-                raise RuntimeError("quantile bracket did not shrink")
+                stuck[key] = (new_low, new_high, new_below, new_count)
             else:
                 brackets[key] = (new_low, new_high, new_below, new_count)
+        _peel(df, stuck, brackets, done)
     if brackets:
         picks = []
         for i, (key, (low, high, below, count)) in enumerate(brackets.items()):
@@ -114,6 +116,33 @@ def _order_statistics(df: DataFrame, sizes: dict, ranks: list, limit: int) -> di
     return done
 
 
+def _peel(df: DataFrame, stuck: dict, brackets: dict, done: dict) -> None:
+    """Settle brackets that the sketch no longer narrows, because heavy values sit at their ends.
+
+    One pass counts both end values and finds their inner neighbours: the rank is at an end, or the bracket loses
+    both end values.
+    """
+    if not stuck:
+        return
+    picks = []
+    for i, (key, (low, high, _, _)) in enumerate(stuck.items()):
+        value = F.col(key[0]).cast("double")
+        picks += [
+            F.count_if(value == F.lit(low)).alias(f"l{i}"),
+            F.count_if(value == F.lit(high)).alias(f"h{i}"),
+            F.min(F.when((value > F.lit(low)) & (value <= F.lit(high)), value)).alias(f"n{i}"),
+            F.max(F.when((value < F.lit(high)) & (value >= F.lit(low)), value)).alias(f"p{i}"),
+        ]
+    row = df.agg(*picks).first()
+    for i, (key, (low, high, below, count)) in enumerate(stuck.items()):
+        at_low, at_high = row[f"l{i}"], row[f"h{i}"]
+        if key[1] < below + at_low or key[1] >= below + count - at_high:
+            done[key] = low if key[1] < below + at_low else high
+            del brackets[key]
+        else:
+            brackets[key] = (row[f"n{i}"], row[f"p{i}"], below + at_low, count - at_low - at_high)
+
+
 def grouped_quantiles(
     df: DataFrame,
     keys: Sequence[str],
