@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfen.llm import bpe, decontamination, multiindex, pages, privacy, rans, sharding, simhash, toxicity
+from quillfen.llm import bpe, decontamination, licenses, multiindex, pages, privacy, rans, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.query,
+    "op2_licenses": licenses.query,
     "op3_privacy": privacy.query,
     "op4_byte_bpe": bpe.query,
     "op5_simhash": simhash.query,
