@@ -156,18 +156,19 @@ def price_bands(df: DataFrame, price: str, quantity: str) -> DataFrame:
 # ---- A/B tests -----------------------------------------------------------------------
 
 
-def ab_groups(df: DataFrame, group: str, metric: str, control: str | None = None, limit: int = 5) -> DataFrame:
+def ab_groups(df: DataFrame, group: str, metric: str, control: str | None = None, limit: int | None = None) -> DataFrame:
     """Statistics per group with a 95 % interval and the lift over the control group.
 
-    The control is named, or else the first group in order; at most `limit` groups are reported.
+    The control is named, or else the first group in order. All groups are reported, or the control and the first
+    groups in order up to `limit`.
     """
     rows = df.dropna(subset=[group, metric])
     label = F.col(group).cast("string")
-    names = [r[0] for r in rows.groupBy(label.alias("g")).agg(F.count(F.lit(1)).alias("n")).orderBy("g").limit(limit).collect()]
-    control = control or (names[0] if names else None)
-    if control is not None and control not in names:
-        names = [control, *names[: limit - 1]]
-    kept = rows.filter(label.isin(names)).select(label.alias("group"), F.col(metric).cast("double").alias("_v"))
+    control = control or rows.agg(F.min(label)).first()[0]
+    if limit is not None:
+        others = rows.select(label.alias("g")).filter(F.col("g") != control).distinct().orderBy("g").limit(max(0, limit - 1))
+        rows = rows.filter(label.isin([control, *[r["g"] for r in others.collect()]]))
+    kept = rows.select(label.alias("group"), F.col(metric).cast("double").alias("_v"))
     wanted = {"n": ("_v", "count"), "mean": ("_v", "mean"), "std": ("_v", "std"), "min": ("_v", "min"), "max": ("_v", "max"), "median": ("_v", "median")}
     out = grouped(kept, ["group"], wanted).withColumnRenamed("n", "sample_size")
     margin = 1.96 * F.col("std") / F.sqrt("sample_size")

@@ -336,8 +336,8 @@ def occurrences(column: Column, token: str) -> Column:
 
 
 def splittable_column(df: DataFrame) -> str | None:
-    """Text column (of the first five) with the most delimiters per value."""
-    names = text_columns(df)[:5]
+    """Text column with the most delimiters per value."""
+    names = text_columns(df)
     if not names:
         return None
     scores = [sum((F.avg(occurrences(F.col(c), d)) for d in DELIMITERS), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(names)]

@@ -24,7 +24,7 @@ SHAPES = (
     r"\d{4}-\d{2}-\d{2}", r"\d{2}/\d{2}/\d{4}", r"\d{2}-\d{2}-\d{4}", r"\d{1,2}\s+\w+\s+\d{4}",
     r"\w+\s+\d{1,2},\s+\d{4}", r"\d{8}", r"\d{6}",
 )
-_LONGEST = 40  # no format is longer; longer texts are not dates
+_LONGEST = 80  # no format is longer, nor is ISO text with nanoseconds and the longest zone name
 
 
 def _shape(fmt: str) -> str:

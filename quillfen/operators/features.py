@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import combinations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -79,27 +80,29 @@ def quantile_bins(df: DataFrame, columns: Sequence[str], bins: Sequence[int] = (
     return df.withColumns(out)
 
 
-def encode_category(df: DataFrame, column: str, target: str | None = None, low: int = 2, high: int = 20) -> DataFrame:
-    """Share of each category, and the target's mean, for columns of `low` to `high` values."""
+_SMALL_CATEGORIES = 1000  # a table of so many categories is broadcast
+
+
+def encode_category(df: DataFrame, column: str, target: str | None = None, low: int = 2, high: int | None = None) -> DataFrame:
+    """Share of each category, and the target's mean, for columns of at least `low` (and, if given, at most `high`) values."""
     known = df.filter(F.col(column).isNotNull())
     groups = known.groupBy(column).agg(F.count(F.lit(1)).alias("_n"), *([F.avg(target).alias(f"{column}_target_mean")] if target else []))
-    count = groups.limit(high + 1).count()
-    if not low <= count <= high:
+    most = _SMALL_CATEGORIES if high is None else max(high, _SMALL_CATEGORIES)
+    count = groups.limit(most + 1).count()
+    if count < low or (high is not None and count > high):
         return df
     total = known.agg(F.count(F.lit(1))).scalar()
     table = groups.withColumn(f"{column}_freq", F.col("_n") / total).drop("_n")
-    return keyed_join(df, table, [column], small=True)
+    return keyed_join(df, table, [column], small=count <= _SMALL_CATEGORIES)
 
 
 def interactions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Products and ratios of the first three columns with the first four."""
+    """Products and ratios of every pair of the columns."""
     out = {}
-    for i in range(min(3, len(columns))):
-        for j in range(i + 1, min(4, len(columns))):
-            a, b = columns[i], columns[j]
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            out[f"{a}_x_{b}"] = x * y
-            out[f"{a}_div_{b}"] = ratio(x, y + 1e-10)
+    for a, b in combinations(columns, 2):
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        out[f"{a}_x_{b}"] = x * y
+        out[f"{a}_div_{b}"] = ratio(x, y + 1e-10)
     return df.withColumns(out) if out else df
 
 
@@ -123,8 +126,8 @@ def engineer(
     out = df
     for c in dates:
         out = cyclic_parts(date_flags(date_parts(out, c), c), c)
-    out = quantile_bins(numeric_transforms(out, numbers[:10]), numbers[:10])
-    for c in texts[:5]:
+    out = quantile_bins(numeric_transforms(out, numbers), numbers)
+    for c in texts:
         out = encode_category(out, c, target)
     out = interactions(out, numbers)
     if dates and numbers and order_by:

@@ -45,11 +45,15 @@ def segment_table(df: DataFrame, categories: Sequence[str], metrics: Sequence[st
     return wide.select("category", "segment", F.explode(rows).alias("r")).select("category", "segment", "r.*")
 
 
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
+
+
 def relationships(
     df: DataFrame, categories: Sequence[str], metrics: Sequence[str], min_ratio: float = 1.5, min_share: float = 0.02,
-    min_rows: float = 0.05, dependency: float = 0.5, limit: int = 5,
+    min_rows: float = 0.05, dependency: float = 0.5, limit: int | None = None,
 ) -> DataFrame:
-    """Best segment per (category, metric) that is large, strong and above average."""
+    """Best segment per (category, metric) that is large, strong and above average; all pairs, or the first `limit`."""
     segments = segment_table(df, categories, metrics)
     # One row per pair.
     pairs = segments.groupBy("category", "metric").agg(F.sum("total").alias("_all"), F.count(F.lit(1)).alias("_groups"))
@@ -67,10 +71,8 @@ def relationships(
         F.max_by(F.struct("segment", "share", "ratio", "count"), F.struct("share", "ratio", "segment")).alias("b")
     ).select("category", "metric", F.col("b.segment").alias("top_segment"), "b.share", "b.ratio", F.col("b.count").alias("rows"))
     kind = F.when(F.col("share") > dependency, "dependency_risk").otherwise("business_relationship")
-    return (
-        best.withColumns({"type": kind, "multiplier": F.when(F.col("share") > dependency, 2.5).otherwise(1.5)})
-        .orderBy(F.desc(F.col("share") * F.col("ratio")), "category", "metric").limit(limit)
-    )
+    out = best.withColumns({"type": kind, "multiplier": F.when(F.col("share") > dependency, 2.5).otherwise(1.5)})
+    return _first(out.orderBy(F.desc(F.col("share") * F.col("ratio")), "category", "metric"), limit)
 
 
 def pareto(
@@ -129,15 +131,15 @@ def missing_impact(df: DataFrame, columns: Sequence[str], metrics: Sequence[str]
     )
 
 
-def best_per_metric(insights: DataFrame, order: Sequence[str] = ("category",), limit: int = 3) -> DataFrame:
-    """One insight per metric, the one with the highest multiplier; at most `limit` metrics."""
+def best_per_metric(insights: DataFrame, order: Sequence[str] = ("category",), limit: int | None = None) -> DataFrame:
+    """One insight per metric, the one with the highest multiplier; all metrics, or the first `limit` by name."""
     # One row per (category, metric) pair comes in.
     spec = Window.partitionBy("metric").orderBy(F.desc("multiplier"), *order)
     first = insights.filter(F.col("type").isNotNull()).withColumn("_rank", F.row_number().over(spec))
-    return first.filter("_rank = 1").drop("_rank").orderBy("metric").limit(limit)
+    return _first(first.filter("_rank = 1").drop("_rank").orderBy("metric"), limit)
 
 
-def ranked(insights: DataFrame, limit: int = 5) -> DataFrame:
+def ranked(insights: DataFrame, limit: int | None = None) -> DataFrame:
     """Priority = type weight x multiplier; impact = type impact scaled by share, concentration or difference."""
 
     def lookup(table: dict, default: float):
@@ -153,7 +155,8 @@ def ranked(insights: DataFrame, limit: int = 5) -> DataFrame:
     factor = F.coalesce(*factors, F.lit(1.0)) if factors else F.lit(1.0)
     impact = F.least(F.lit(1.0), F.greatest(F.lit(0.1), lookup(IMPACT, 0.5) * factor))
     out = insights.withColumns({"priority": lookup(PRIORITY, 5.0) * F.col("multiplier"), "impact": impact})
-    return out.orderBy(F.desc("priority"), F.desc("impact"), "metric", "type").limit(limit)
+    ties = ["metric", "type", *(["category"] if "category" in insights.columns else [])]
+    return _first(out.orderBy(F.desc("priority"), F.desc("impact"), *ties), limit)
 
 
 def leader_ratio(df: DataFrame, category: str, metric: str) -> DataFrame:
@@ -189,7 +192,7 @@ def variation_scores(df: DataFrame, top: int = 10, p: Profile | None = None) ->
     return df.sparkSession.createDataFrame(rows, "column string, variation double")
 
 
-def mine(df: DataFrame, categories: Sequence[str], metrics: Sequence[str], nullable: Sequence[str] = (), limit: int = 5) -> DataFrame:
+def mine(df: DataFrame, categories: Sequence[str], metrics: Sequence[str], nullable: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """Relationship, concentration and missing-data insights, ranked together."""
     parts = [
         relationships(df, categories, metrics).select("type", "category", "metric", "multiplier", "share"),

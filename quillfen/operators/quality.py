@@ -76,15 +76,21 @@ def fuzzy_candidate(p: Profile) -> str | None:
     return max(fits, key=lambda c: c.distinct).name if fits else None
 
 
+_PAIRS_PER_PASS = 200
+
+
 def equal_pairs(df: DataFrame, names: list[str]) -> list[tuple[str, str, float]]:
     """Columns of one type that agree on 80 % to 100 % of the rows."""
     types = {f.name: f.dataType for f in df.schema}
     pairs = [(a, b) for a, b in combinations(names, 2) if types[a] == types[b]]
     if not pairs:
         return []
-    same = [F.avg(F.coalesce(F.col(a) == F.col(b), F.lit(False)).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
-    row = df.agg(*same).first()
-    return [(a, b, s) for (a, b), s in zip(pairs, row) if s is not None and 0.8 < s < 1.0]
+    found = []
+    for start in range(0, len(pairs), _PAIRS_PER_PASS):
+        block = pairs[start : start + _PAIRS_PER_PASS]
+        same = [F.avg(F.coalesce(F.col(a) == F.col(b), F.lit(False)).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(block)]
+        found += [(a, b, s) for (a, b), s in zip(block, df.agg(*same).first()) if s is not None and 0.8 < s < 1.0]
+    return found
 
 
 def mixed_date_columns(df: DataFrame, names: list[str]) -> list[tuple[str, int, int]]:
@@ -95,10 +101,10 @@ def mixed_date_columns(df: DataFrame, names: list[str]) -> list[tuple[str, int,
     return [(c, r["hits"], r["n"]) for c, r in zip(names, row) if 0 < r["hits"] < r["n"]]
 
 
-def issues(df: DataFrame, limit: int = 15, only: list[str] | None = None) -> DataFrame:
+def issues(df: DataFrame, limit: int | None = None, only: list[str] | None = None) -> DataFrame:
     """Issues by severity: category, columns, severity and the measured ratio.
 
-    `only` restricts the search to some categories and skips the passes of the others.
+    All issues, or the first `limit`. `only` restricts the search to some categories and skips the passes of the others.
     """
     p = profile(df, top=2, spread=False)
     n, found = p.rows, []
@@ -139,9 +145,9 @@ def issues(df: DataFrame, limit: int = 15, only: list[str] | None = None) -> Dat
         pairs = list(combinations(numbers, 2))
         rs = map(_safe, _pair_values(df, pairs, correlation))
         strong = [(a, b, abs(r)) for (a, b), r in zip(pairs, rs) if r is not None and abs(r) > 0.975]
-        for a, b, r in sorted(strong, key=lambda x: (-x[2], x[0], x[1]))[:5]:
+        for a, b, r in sorted(strong, key=lambda x: (-x[2], x[0], x[1])):
             add("high_correlation", f"{a}, {b}", "medium", r)
-    if wanted("redundant_columns") and len(p.columns) <= 20:
+    if wanted("redundant_columns"):
         for a, b, share in equal_pairs(df, list(p.columns)):
             add("redundant_columns", f"{a}, {b}", "low", share)
     if wanted("date_format"):

@@ -69,16 +69,16 @@ def smart_sample(
     return Sample(random_fraction(df, fraction, seed), True, fraction, None, score)
 
 
-def equal_allocation(df: DataFrame, stratum: str, limit: int, max_strata: int = 50, seed: int = 42) -> DataFrame:
-    """limit // strata rows of each stratum, in hash order; a plain sample when there are too many strata."""
-    strata = df.filter(F.col(stratum).isNotNull()).select(stratum).distinct().limit(max_strata + 1).count()
-    if not 0 < strata <= max_strata:
-        return df.withColumn("_hash", row_hash(df, seed)).orderBy("_hash").limit(limit).drop("_hash")
-    per = max(1, limit // strata)
+def equal_allocation(df: DataFrame, stratum: str, limit: int, seed: int = 42) -> DataFrame:
+    """limit // strata rows of each stratum, one at least, in hash order; null is a stratum of its own.
+
+    With more strata than `limit` there are as many rows as strata, so none is lost.
+    """
+    strata = df.select(stratum).distinct().count()
+    per = max(1, limit // max(1, strata))
     # The rank filter is applied per task before the shuffle.
     place = F.row_number().over(Window.partitionBy(stratum).orderBy(row_hash(df, seed)))
-    picked = df.filter(F.col(stratum).isNotNull()).withColumn("_place", place).filter(F.col("_place") <= per)
-    return picked.drop("_place").limit(limit)
+    return df.withColumn("_place", place).filter(F.col("_place") <= per).drop("_place")
 
 
 def diverse_head(df: DataFrame, rows: int = 20, seed: int = 42) -> DataFrame:
@@ -86,4 +86,4 @@ def diverse_head(df: DataFrame, rows: int = 20, seed: int = 42) -> DataFrame:
     names = text_columns(df)
     if not names:
         return df.withColumn("_hash", row_hash(df, seed)).orderBy("_hash").limit(rows).drop("_hash")
-    return equal_allocation(df, names[0], min(3 * rows, 150), 19, seed).limit(rows)
+    return equal_allocation(df, names[0], 3 * rows, seed).limit(rows)

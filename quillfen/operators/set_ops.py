@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from quillfen.operators.keyed import keyed_join
+from quillfen.operators.sampling import row_hash
 
 
 def align(left: DataFrame, right: DataFrame, match_by_name: bool) -> DataFrame:
@@ -35,7 +36,12 @@ def set_op(left: DataFrame, right: DataFrame, kind: str, match_by_name: bool = T
 
 
 def preview_set_op(
-    left: DataFrame, right: DataFrame, kind: str, rows: int = 5000, match_by_name: bool = True
+    left: DataFrame, right: DataFrame, kind: str, rows: int | None = 5000, match_by_name: bool = True, seed: int = 42
 ) -> DataFrame:
-    """The operation on at most `rows` rows of each side."""
-    return set_op(left.limit(rows), right.limit(rows), kind, match_by_name)
+    """The operation on a seeded random sample of at most `rows` rows of each side (None: all)."""
+
+    def drawn(side: DataFrame) -> DataFrame:
+        # Equal rows share the hash; a top-k by it is taken per task before the shuffle.
+        return side if rows is None else side.orderBy(row_hash(side, seed)).limit(rows)
+
+    return set_op(drawn(left), drawn(right), kind, match_by_name)

@@ -288,6 +288,25 @@ def _(t: Tables):
     return out.select("group", rnd("lift_vs_control", 6).alias("lift_vs_control"))
 
 
+@query(
+    "bi18_ab_many_groups",
+    f"""SELECT (user_id % 7)::VARCHAR AS "group", COUNT(*) AS sample_size, {sql_rnd('AVG(value)')} AS mean
+        FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL GROUP BY 1""",
+)
+def _(t: Tables):
+    out = bi.ab_groups(t.events.withColumn("arm", F.col("user_id") % 7), "arm", "value")
+    return out.select("group", "sample_size", rnd("mean").alias("mean"))
+
+
+@query(
+    "bi7_many_categories",
+    f"SELECT o_custkey, {sql_rnd('COUNT(*) / (SELECT COUNT(*) FROM orders)', 10)} AS share FROM orders GROUP BY 1",
+)
+def _(t: Tables):
+    out = ft.encode_category(t.orders.select("o_custkey"), "o_custkey").distinct()
+    return out.select("o_custkey", rnd("o_custkey_freq", 10).alias("share"))
+
+
 @query("bi21_power")
 def _(t: Tables):
     return bi.ab_power(variants(t), "arm", "value", "A", "B")

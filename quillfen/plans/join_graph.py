@@ -103,9 +103,12 @@ class JoinGraph:
                     order.append(link)
         return order
 
-    def build(self, start: str, how: str = "inner", indicator: bool = True) -> DataFrame:
+    def build(self, start: str, how: str = "inner", indicator: bool = True, guard: bool = False) -> DataFrame:
+        """All steps in one plan; `guard` counts keys before every step and refuses a join that explodes."""
         result = self.tables[start]
         for link in self.steps(start):
+            if guard:
+                refuse_explosion(result, link.source_column, self.tables[link.target], link.target_column, link.how or how)
             result = join_pair(
                 result, self.tables[link.target], link.source_column, link.target_column,
                 link.target, link.how or how, link.alias, indicator,
@@ -149,11 +152,15 @@ def join_estimate(
     )
 
 
-def guarded_join(left: DataFrame, left_on: str, right: DataFrame, right_on: str, right_name: str, how: str = "inner"):
-    """join_pair that refuses an exploding join."""
+def refuse_explosion(left: DataFrame, left_on: str, right: DataFrame, right_on: str, how: str = "inner") -> None:
     row = scalars(join_estimate(left, left_on, right, right_on, how), explodes=F.bool_or("explodes"))
     if row["explodes"]:
         raise ValueError("join explodes: check key uniqueness")
+
+
+def guarded_join(left: DataFrame, left_on: str, right: DataFrame, right_on: str, right_name: str, how: str = "inner"):
+    """join_pair that refuses an exploding join."""
+    refuse_explosion(left, left_on, right, right_on, how)
     return join_pair(left, right, left_on, right_on, right_name, how)
 
 

@@ -80,6 +80,22 @@ def _(t: Tables):
     ).select("o_orderkey", "buyer", "c_name")
 
 
+@query(
+    "jn7_guarded_graph",
+    "SELECT n_name, COUNT(*) AS orders, TRUE AS refused FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
+)
+def _(t: Tables):
+    graph = jg.JoinGraph({"orders": t.orders, "customer": t.customer, "nation": t.nation})
+    graph.link("orders", "o_custkey", "customer", "c_custkey").link("customer", "c_nationkey", "nation", "n_nationkey")
+    refused = False
+    try:
+        jg.JoinGraph({"orders": t.orders, "lineitem": t.lineitem}).link("orders", "o_orderstatus", "lineitem", "l_linestatus").build("orders", guard=True)
+    except ValueError:
+        refused = True
+    joined = graph.build("orders", indicator=False, guard=True)
+    return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.lit(refused).alias("refused"))
+
+
 @query(
     "jn6_join_graph",
     f"""SELECT r_name, n_name, COUNT(*) AS lines, {sql_rnd('SUM(l_quantity)', 2)} AS quantity
@@ -220,4 +236,16 @@ def _(t: Tables):
 
 @query("set6_preview", f"SELECT k, g FROM {A_SQL} UNION SELECT k, g FROM {B_SQL}")
 def _(t: Tables):
-    return preview_set_op(side_a(t), side_b(t), "union", rows=1_000_000)
+    return preview_set_op(side_a(t), side_b(t), "union", rows=None)
+
+
+@query("set6_preview_sample", "SELECT TRUE AS from_sides, TRUE AS full, TRUE AS repeats")
+def _(t: Tables):
+    left, right = t.orders.select("o_orderkey", "o_custkey"), t.orders.filter("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey")
+    first, second = (preview_set_op(left, right, "union_all", rows=50) for _ in range(2))
+    inside = set_op(first, left, "except").agg(F.count(F.lit(1)).alias("outside"), F.lit(0).alias("one"))
+    rows = first.agg(F.count(F.lit(1)).alias("rows"), F.lit(0).alias("one"))
+    changed = first.exceptAll(second).agg(F.count(F.lit(1)).alias("changed"), F.lit(0).alias("one"))
+    return inside.join(rows, "one").join(changed, "one").select(
+        (F.col("outside") == 0).alias("from_sides"), (F.col("rows") == 100).alias("full"), (F.col("changed") == 0).alias("repeats")
+    )

@@ -41,7 +41,7 @@ RELATIONS = f"""{HEAD}, a AS (SELECT *, total / SUM(total) OVER (PARTITION BY ca
     f"{RELATIONS} SELECT category, metric, segment AS top_segment, {sql_rnd('share', 6)} AS share, {sql_rnd('ratio', 6)} AS ratio, count AS rows, type FROM r ORDER BY r.share * r.ratio DESC LIMIT 5",
 )
 def _(t: Tables):
-    out = ins.relationships(base(t), CATS, METRICS).drop("multiplier")
+    out = ins.relationships(base(t), CATS, METRICS, limit=5).drop("multiplier")
     return out.withColumns({"share": rnd("share", 6), "ratio": rnd("ratio", 6)})
 
 
@@ -56,7 +56,7 @@ def _(t: Tables):
 
 @query("ins2_dependency_risk", f"{RELATIONS} SELECT category, metric, segment AS top_segment FROM r WHERE type = 'dependency_risk'")
 def _(t: Tables):
-    out = ins.relationships(base(t), CATS, METRICS, limit=100)
+    out = ins.relationships(base(t), CATS, METRICS)
     return out.filter("type = 'dependency_risk'").select("category", "metric", "top_segment")
 
 
@@ -97,7 +97,12 @@ def _(t: Tables):
         SELECT category, metric, type, multiplier FROM b WHERE rn = 1 ORDER BY metric LIMIT 3""",
 )
 def _(t: Tables):
-    return ins.best_per_metric(ins.pareto(base(t), CATS, METRICS)).select("category", "metric", "type", "multiplier")
+    return ins.best_per_metric(ins.pareto(base(t), CATS, METRICS), limit=3).select("category", "metric", "type", "multiplier")
+
+
+@query("ins1_relationships_all", f"{RELATIONS} SELECT category, metric, segment AS top_segment, type FROM r")
+def _(t: Tables):
+    return ins.relationships(base(t), CATS, METRICS).select("category", "metric", "top_segment", "type")
 
 
 @query(
@@ -108,13 +113,13 @@ def _(t: Tables):
 )
 def _(t: Tables):
     found = ins.pareto(base(t), CATS, METRICS).filter(F.col("type").isNotNull())
-    out = ins.ranked(found.orderBy("category"), limit=1000).orderBy(F.desc("priority"), F.desc("impact"), "metric", "type", "category").limit(5)
+    out = ins.ranked(found, limit=5)
     return out.select("category", "metric", "type", rnd("priority").alias("priority"), rnd("impact", 6).alias("impact"))
 
 
 @query("ins6_mine_all")
 def _(t: Tables):
-    out = ins.mine(base(t), CATS, METRICS, ["price_code"], limit=10)
+    out = ins.mine(base(t), CATS, METRICS, ["price_code"])
     return out.select("type", "category", "metric", rnd("priority").alias("priority"), rnd("impact").alias("impact"))
 
 

@@ -22,11 +22,13 @@ DEFAULT_NA = (
 SEPARATORS = (",", ";", "\t", "|")
 
 
-def _raw(spark: SparkSession, path, sep: str, encoding: str, skip_rows: int, header: bool) -> DataFrame:
+def _raw(spark: SparkSession, path, sep: str, encoding: str, skip_rows: int, header: bool, multi_line: bool) -> DataFrame:
+    if multi_line and skip_rows:
+        raise ValueError("skip_rows needs one line per row")
     if not skip_rows:
         return spark.read.csv(
             path, sep=sep, encoding=encoding, header=header, inferSchema=False, mode="PERMISSIVE",
-            escape='"', enforceSchema=False,
+            escape='"', enforceSchema=False, multiLine=multi_line,
         )
     lines = spark.read.option("encoding", encoding).text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -99,10 +101,13 @@ def read_delimited(
     spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "UTF-8",
     na_values: Sequence[str] = (), keep_default_na: bool = True, skip_rows: int = 0,
     decimal: str = ".", parse_dates: bool = True, header: bool = True,
-    schema: T.StructType | None = None,
+    schema: T.StructType | None = None, multi_line: bool = False,
 ) -> DataFrame:
-    """CSV, TSV or TXT with custom missing tokens, decimal mark and skipped head lines."""
-    raw = _raw(spark, path, sep, encoding, skip_rows, header)
+    """CSV, TSV or TXT with custom missing tokens, decimal mark and skipped head lines.
+
+    `multi_line` reads quoted line breaks; such a file is one task, so it is off by default.
+    """
+    raw = _raw(spark, path, sep, encoding, skip_rows, header, multi_line)
     missing = list(na_values) + (list(DEFAULT_NA) if keep_default_na else [])
 
     def clean(name: str) -> Column:
@@ -160,19 +165,22 @@ def read_excel(
     return files.mapInPandas(parse, schema)
 
 
-def best_separator(lines: Sequence[str]) -> str | None:
-    """First separator that splits every sampled line into the same number (>1) of fields."""
-    for sep in SEPARATORS:
-        counts = {line.count(sep) for line in lines}
-        if len(counts) == 1 and counts.pop() > 0:
-            return sep
-    return None
+def best_separator(lines: DataFrame) -> str | None:
+    """First separator that splits every line into the same number (>1) of fields; blank lines do not count."""
+    line = F.col("value")
+    found = {}
+    for i, sep in enumerate(SEPARATORS):
+        hits = F.length(line) - F.length(F.replace(line, F.lit(sep), F.lit("")))
+        found[f"s{i}"] = F.struct(F.min(hits).alias("least"), F.max(hits).alias("most"))
+    row = lines.filter(F.trim(line) != "").agg(*[c.alias(n) for n, c in found.items()]).first()
+    fits = [sep for sep, s in zip(SEPARATORS, row) if s["least"] is not None and s["least"] == s["most"] > 0]
+    return fits[0] if fits else None
 
 
-def read_text_auto(spark: SparkSession, path: str, sample: int = 100) -> DataFrame:
-    """Delimited text if one separator fits a sample of lines, else one `text` column."""
+def read_text_auto(spark: SparkSession, path: str) -> DataFrame:
+    """Delimited text if one separator fits all lines, else one `text` column."""
     lines = spark.read.text(path)
-    sep = best_separator([r["value"] for r in lines.limit(sample).collect()])
+    sep = best_separator(lines)
     if sep is None:
         return lines.withColumnRenamed("value", "text")
     return read_delimited(spark, path, sep=sep)

@@ -14,6 +14,7 @@ from quillfen.operators import (
 from quillfen.operators.quantiles import cut_codes, quantiles
 from quillfen.operators.set_ops import set_op
 from quillfen.plans.join_graph import JoinGraph, join_pair
+from quillfen.sources import readers
 
 
 def rows(df):
@@ -304,3 +305,34 @@ def test_feature_families(spark):
     assert {"d_is_month_end", "y_bin_5", "c_freq", "c_target_mean", "y_lag_7", "d_month_sin"} <= set(out.data.columns)
     assert out.data.count() == 40
     assert out.importance.first()["correlation_with_target"] == pytest.approx(1.0)
+
+
+def test_nothing_is_capped(spark):
+    wide = spark.range(40).select("id", *[(F.col("id") * (i + 2) % 37).alias(f"n{i}") for i in range(24)])
+    wide = wide.withColumn("copy", F.when(F.col("id") < 38, F.col("n0")).otherwise(-1))
+    found = {r["columns"] for r in quality.issues(wide, only=["redundant_columns"]).collect()}
+    assert "n0, copy" in found
+    texts = spark.createDataFrame([("a", "b", "c", "d", "e", "x,y,z,w")] * 3, [f"t{i}" for i in range(6)])
+    assert cleaning.splittable_column(texts) == "t5"
+    groups = spark.range(300).select((F.col("id") % 30).cast("string").alias("g"), F.col("id").cast("double").alias("v"))
+    assert business.ab_groups(groups, "g", "v").count() == 30
+    assert business.ab_groups(groups, "g", "v", control="7", limit=3).count() == 3
+    assert "g_freq" in features.encode_category(groups, "g").columns
+    assert features.encode_category(groups, "g", high=20).columns == groups.columns
+    strata = groups.unionByName(spark.createDataFrame([(None, 1.0)], "g string, v double"))
+    assert sampling.equal_allocation(strata, "g", 10).select("g").distinct().count() == 31
+
+
+def test_separator_of_all_lines(spark, tmp_path):
+    path = str(tmp_path / "ragged.txt")
+    with open(path, "w") as out:
+        out.write("a,b\n" + "1,2\n" * 150 + "1,2,3\n")
+    assert readers.read_text_auto(spark, path).columns == ["text"]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = str(tmp_path / "breaks.csv")
+    with open(path, "w") as out:
+        out.write('id,note\n1,"line one\nline two"\n2,x\n')
+    rows = readers.read_delimited(spark, path, multi_line=True).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, "line one\nline two"), (2, "x")]
