@@ -43,6 +43,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _summed(rows: np.ndarray, where: np.ndarray, count: int) -> np.ndarray:
+    """Sums of the rows that share a place, for `count` places."""
+    out = np.zeros((count, rows.shape[1]), np.float32)
+    if len(where):
+        order = np.argsort(where, kind="stable")
+        places = where[order]
+        first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+        out[places[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets, and the buckets of all byte n-grams (3 and 4, with borders) with the word each belongs to."""
     buckets = np.fromiter((zlib.crc32(w) % WORD_BUCKETS for w in words), np.int64, len(words))
@@ -147,7 +158,7 @@ class Network:
         to_x = np.zeros_like(x)
         for k, side in enumerate("fb"):
             inner = w["h" + side]
-            to_gates = np.zeros((len(x) + 1, 3 * h), np.float32)
+            slopes = np.empty((len(at), WINDOW, 3 * h), np.float32)
             to_inner = np.zeros_like(inner)
             carry = np.zeros((len(at), h), np.float32)
             for t, state, z, r, new, real in reversed(seen["t" + side]):
@@ -160,14 +171,13 @@ class Network:
                 d_zr = np.concatenate([d_z, d_r], 1)
                 to_inner[:, : 2 * h] += state.T @ d_zr
                 to_inner[:, 2 * h :] += (state * r).T @ d_new
-                np.add.at(to_gates, at[:, t], np.concatenate([d_zr, d_new], 1))
+                slopes[:, t, : 2 * h], slopes[:, t, 2 * h :] = d_zr, d_new
                 carry = np.where(real, back * (1 - z) + d_zr @ inner[:, : 2 * h].T + d_reset * r, carry)
-            to_gates = to_gates[:-1]
+            to_gates = _summed(slopes.reshape(-1, 3 * h), at.ravel(), len(x) + 1)[:-1]
             grad |= {"h" + side: to_inner, "x" + side: x.T @ to_gates, "c" + side: to_gates.sum(0)}
             to_x += to_gates @ w["x" + side].T
-        grad["word"], grad["char"] = np.zeros_like(w["word"]), np.zeros_like(w["char"])
-        np.add.at(grad["word"], own["buckets"], to_x[:, :DIM])
-        np.add.at(grad["char"], own["grams"], (to_x[:, DIM:] / own["number"])[own["whose"]])
+        grad["word"] = _summed(to_x[:, :DIM], own["buckets"], WORD_BUCKETS)
+        grad["char"] = _summed((to_x[:, DIM:] / own["number"])[own["whose"]], own["grams"], CHAR_BUCKETS)
         return grad
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -246,11 +256,15 @@ def _epochs(net: Network, moments: dict, docs: list, y: np.ndarray, chosen: np.n
 
 
 def _descend(net: Network, moments: dict, parts: list, y: np.ndarray, sharp: float, rate: float, draw: np.random.Generator) -> None:
-    starts = []
+    read, starts = [], []
     for own in parts:
         every = windows_of(len(own))
-        starts.append(every if len(every) <= SAMPLE_WINDOWS else [every[k] for k in draw.choice(len(every), SAMPLE_WINDOWS, replace=False)])
-    at, index, first = placed(parts, starts)
+        if len(every) > SAMPLE_WINDOWS:  # only the words of the drawn windows, one window after another
+            drawn = [every[k] for k in draw.choice(len(every), SAMPLE_WINDOWS, replace=False)]
+            own, every = [w for a in drawn for w in own[a : a + WINDOW]], [n * WINDOW for n in range(SAMPLE_WINDOWS)]
+        read.append(own)
+        starts.append(every)
+    at, index, first = placed(read, starts)
     inputs = net.inputs(list(index))
     seen = net.forward(inputs["x"], at, keep=True)
     sizes = np.diff([*first, len(at)])
