@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import os
 import re
 from collections.abc import Iterable, Iterator, Sequence
@@ -30,13 +31,16 @@ def _raw(spark: SparkSession, path, sep: str, encoding: str, skip_rows: int, hea
             path, sep=sep, encoding=encoding, header=header, inferSchema=False, mode="PERMISSIVE",
             escape='"', enforceSchema=False, multiLine=multi_line,
         )
-    lines = spark.read.option("encoding", encoding).text(path).select(
+    # The text source keeps the bytes as they are; bad UTF-8 is replaced.
+    utf8 = encoding.upper().replace("_", "-") in ("UTF-8", "UTF8")
+    value = F.make_valid_utf8(F.col("value")) if utf8 else F.decode(F.col("value").cast("binary"), encoding)
+    lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
-        "value",
+        value.alias("value"),
     )
 
-    def drop_head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def drop_head(batches: Iterator[pd.DataFrame], count: int = skip_rows + int(header)) -> Iterator[pd.DataFrame]:
         # Lines of one file block arrive in order; only a file's first block has lines to drop.
         file, seen = None, 0
         for pdf in batches:
@@ -45,18 +49,17 @@ def _raw(spark: SparkSession, path, sep: str, encoding: str, skip_rows: int, hea
                 if name != file:
                     file, seen = name, 0
                 seen += 1
-                keep.append(start > 0 or seen > skip_rows)
+                keep.append(start > 0 or seen > count)
             kept = pdf[keep]
             if len(kept):
                 yield kept
 
-    body = lines.mapInPandas(drop_head, lines.schema)
-    first = body.filter("start = 0").select("value").first()
-    names = [c.strip('"') for c in (first["value"].split(sep) if first else [])]
+    # Every file starts with the same head lines; they are dropped by position.
+    rows = lines.mapInPandas(lambda batches: drop_head(batches), lines.schema)
+    first = lines.filter("start = 0").mapInPandas(lambda batches: drop_head(batches, skip_rows), lines.schema).select("value").first()
+    names = next(csv.reader([first["value"]], delimiter=sep), []) if first else []
     if not header:
         names = [f"_c{i}" for i in range(len(names))]
-    # Every file starts with the same header line.
-    rows = body.filter(F.col("value") != first["value"]) if header and first else body
     parsed = F.from_csv("value", _ddl(names), {"sep": sep, "escape": '"'})
     return rows.select(parsed.alias("r")).select("r.*")
 

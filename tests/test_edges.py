@@ -336,3 +336,13 @@ def test_quoted_line_breaks(spark, tmp_path):
         out.write('id,note\n1,"line one\nline two"\n2,x\n')
     rows = readers.read_delimited(spark, path, multi_line=True).orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, "line one\nline two"), (2, "x")]
+
+
+def test_head_lines_quotes_and_encoding(spark, tmp_path):
+    path = str(tmp_path / "head.csv")
+    with open(path, "wb") as out:
+        out.write('note\n"a,b",c\n1,caf\xe9\n"a,b",c\n'.encode("latin-1"))
+    frame = readers.read_delimited(spark, path, skip_rows=1, encoding="ISO-8859-1")
+    assert frame.columns == ["a,b", "c"]
+    assert sorted(map(tuple, frame.collect())) == [("1", "caf\xe9"), ("a,b", "c")]
+    assert readers.read_delimited(spark, path, skip_rows=1).count() == 2
