@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,18 +41,14 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 def _summed(rows: np.ndarray, where: np.ndarray, count: int) -> np.ndarray:
     """Sums of the rows that share a place, for `count` places."""
-    out = np.zeros((count, rows.shape[1]), np.float32)
-    if len(where):
-        order = np.argsort(where, kind="stable")
-        places = where[order]
-        first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
-        out[places[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    width = rows.shape[1]
+    places = (where[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(places, rows.ravel(), count * width).reshape(count, width).astype(np.float32)
 
 
 def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,6 +72,29 @@ def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return buckets, np.concatenate(grams), np.concatenate(whose)
 
 
+class Words:
+    """Distinct words by number, with their word buckets and the buckets of their n-grams, word after word."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.buckets, grams, whose = word_inputs(words)
+        self.grams = grams[np.argsort(whose, kind="stable")]
+        self.sizes = np.bincount(whose, minlength=len(words))
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word buckets, gram buckets, and the number and first place of each word's grams, of some of the words."""
+        sizes = self.sizes[which]
+        first = np.cumsum(sizes) - sizes
+        grams = self.grams[np.repeat(self.first[which] - first, sizes) + np.arange(sizes.sum())]
+        return self.buckets[which], grams, sizes, first
+
+
+def numbered(parts: list[list[bytes]]) -> tuple[Words, list[np.ndarray]]:
+    """The distinct words of texts, and every text as numbers of them."""
+    index = {w: n for n, w in enumerate(dict.fromkeys(chain.from_iterable(parts)))}
+    return Words(list(index)), [np.fromiter(map(index.__getitem__, own), np.int32, len(own)) for own in parts]
+
+
 def windows_of(count: int) -> list[int]:
     """Starts of the windows that cover `count` words, each overlapping the next by half."""
     if count <= WINDOW:
@@ -104,37 +124,37 @@ class Network:
             self.w["c" + side] = np.zeros(3 * HIDDEN, np.float32)
         self.prior = 0.0
 
-    def inputs(self, words: list[bytes]) -> dict[str, np.ndarray]:
-        """The input vectors of distinct words."""
-        buckets, grams, whose = word_inputs(words)
-        number = np.maximum(1, np.bincount(whose, minlength=len(words)))[:, None].astype(np.float32)
-        char = np.stack([np.bincount(whose, self.w["char"][grams, k], len(words)) for k in range(DIM)], 1).astype(np.float32) / number
-        return {"x": np.concatenate([self.w["word"][buckets], char], 1), "buckets": buckets, "grams": grams, "whose": whose, "number": number}
+    def inputs(self, words: Words, which: np.ndarray) -> dict[str, np.ndarray]:
+        """The input vectors of some distinct words."""
+        buckets, grams, sizes, first = words.of(which)
+        number = sizes[:, None].astype(np.float32)
+        char = np.add.reduceat(self.w["char"][grams], first, axis=0) / number
+        return {"x": np.concatenate([self.w["word"][buckets], char], 1), "buckets": buckets, "grams": grams, "sizes": sizes, "number": number}
 
     def _run(self, gates: np.ndarray, at: np.ndarray, side: str, keep: bool) -> tuple[np.ndarray, list]:
         """Hidden states (windows, WINDOW, HIDDEN) of one direction; `at` holds the row of `gates`, the last for padding."""
         n, h = len(at), HIDDEN
         state, out, trace = np.zeros((n, h), np.float32), np.empty((n, WINDOW, h), np.float32), []
-        inner = self.w["h" + side]
+        inner, places = self.w["h" + side], np.ascontiguousarray(at.T)
         for t in range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1):
-            own = gates[at[:, t]]
+            own = gates[places[t]]
             zr = _sigmoid(own[:, : 2 * h] + state @ inner[:, : 2 * h])
             z, r = zr[:, :h], zr[:, h:]
             reset = state * r
             new = np.tanh(own[:, 2 * h :] + reset @ inner[:, 2 * h :])
-            real = (at[:, t] < len(gates) - 1)[:, None]
-            after = np.where(real, state + z * (new - state), state)
             if keep:
-                trace.append((t, state, z, r, new, real))
-            state = after
+                trace.append((t, state, z, r, new))
+            state = state + z * (new - state)
             out[:, t] = state
         return out, trace
 
     def forward(self, x: np.ndarray, at: np.ndarray, keep: bool = False) -> dict:
         """Logits of windows; `at` (windows, WINDOW) holds rows of x, len(x) for padding."""
         found: dict = {"at": at}
+        shut = np.zeros((1, 3 * HIDDEN), np.float32)
+        shut[:, :HIDDEN] = -1e6  # the update gate of padding is zero, so the state passes through
         for side in "fb":
-            gates = np.concatenate([x @ self.w["x" + side] + self.w["c" + side], np.zeros((1, 3 * HIDDEN), np.float32)])
+            gates = np.concatenate([x @ self.w["x" + side] + self.w["c" + side], shut])
             found["s" + side], found["t" + side] = self._run(gates, at, side, keep)
         states = np.concatenate([found["sf"], found["sb"]], 2)
         mask = at < len(x)
@@ -161,63 +181,70 @@ class Network:
             slopes = np.empty((len(at), WINDOW, 3 * h), np.float32)
             to_inner = np.zeros_like(inner)
             carry = np.zeros((len(at), h), np.float32)
-            for t, state, z, r, new, real in reversed(seen["t" + side]):
+            for t, state, z, r, new in reversed(seen["t" + side]):
                 carry = carry + to_states[:, t, k * h : k * h + h]
-                back = carry * real
-                d_new = back * z * (1 - new**2)
-                d_z = back * (new - state) * z * (1 - z)
+                open_ = carry * z
+                d_new = open_ * (1 - new * new)
+                d_z = open_ * (new - state) * (1 - z)
                 d_reset = d_new @ inner[:, 2 * h :].T
                 d_r = d_reset * state * r * (1 - r)
                 d_zr = np.concatenate([d_z, d_r], 1)
                 to_inner[:, : 2 * h] += state.T @ d_zr
                 to_inner[:, 2 * h :] += (state * r).T @ d_new
                 slopes[:, t, : 2 * h], slopes[:, t, 2 * h :] = d_zr, d_new
-                carry = np.where(real, back * (1 - z) + d_zr @ inner[:, : 2 * h].T + d_reset * r, carry)
+                carry = carry - open_ + d_zr @ inner[:, : 2 * h].T + d_reset * r
             to_gates = _summed(slopes.reshape(-1, 3 * h), at.ravel(), len(x) + 1)[:-1]
             grad |= {"h" + side: to_inner, "x" + side: x.T @ to_gates, "c" + side: to_gates.sum(0)}
             to_x += to_gates @ w["x" + side].T
         grad["word"] = _summed(to_x[:, :DIM], own["buckets"], WORD_BUCKETS)
-        grad["char"] = _summed((to_x[:, DIM:] / own["number"])[own["whose"]], own["grams"], CHAR_BUCKETS)
+        grad["char"] = _summed(np.repeat(to_x[:, DIM:] / own["number"], own["sizes"], axis=0), own["grams"], CHAR_BUCKETS)
         return grad
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probability of the most toxic window of every text, all words read; texts without words get the prior."""
         out = np.full(len(texts), self.prior, np.float64)
-        for members, at, x, first in self._chunks(texts):
-            logit = self.forward(x, at)["logit"]
-            out[members] = np.maximum.reduceat(logit, first)
         # A text longer than a chunk is read in one piece: its windows are independent rows.
+        for members, parts in chunks(map(words_of, texts)):
+            out[members] = self.logits(*numbered(parts))
         return _sigmoid(out)
 
-    def _chunks(self, texts: list[str | None]) -> Iterator[tuple]:
-        members: list[int] = []
-        parts: list[list[bytes]] = []
-        count = 0
-        for n, text in enumerate(texts):
-            own = words_of(text)
-            if own:
-                members.append(n)
-                parts.append(own)
-                count += len(own)
-            if members and (count >= CHUNK_WORDS or n + 1 == len(texts)):
-                at, index, first = placed(parts)
-                yield members, at, self.inputs(list(index))["x"], first
-                members, parts, count = [], [], 0
-
-
-def placed(parts: list[list[bytes]], starts: list[list[int]] | None = None) -> tuple[np.ndarray, dict[bytes, int], np.ndarray]:
-    """Rows of the windows of texts, the distinct words in the order of their rows, and each text's first window."""
-    index: dict[bytes, int] = {}
-    flat = np.fromiter((index.setdefault(w, len(index)) for own in parts for w in own), np.int64)
-    rows, first, base = [], [], 0
+    def logits(self, words: Words, parts: list[np.ndarray]) -> np.ndarray:
+        """The largest logit among the windows of every text; texts are numbers of words, none is empty."""
+        at, which, first = placed(parts, len(words.buckets))
+        return np.maximum.reduceat(self.forward(self.inputs(words, which)["x"], at)["logit"], first)
+
+
+def chunks(parts: Iterator) -> Iterator[tuple[list[int], list]]:
+    """Runs of texts that are not empty, of CHUNK_WORDS words or one text, with their positions."""
+    members: list[int] = []
+    held: list = []
+    count = 0
     for n, own in enumerate(parts):
-        first.append(len(rows))
-        rows += [(base + a, base + len(own)) for a in (windows_of(len(own)) if starts is None else starts[n])]
-        base += len(own)
-    bounds = np.array(rows, np.int64).reshape(-1, 2)
-    place = bounds[:, :1] + np.arange(WINDOW)
-    at = np.where(place < bounds[:, 1:], flat[np.minimum(place, len(flat) - 1)], len(index))
-    return at, index, np.array(first)
+        if len(own):
+            members.append(n)
+            held.append(own)
+            count += len(own)
+        if count >= CHUNK_WORDS:
+            yield members, held
+            members, held, count = [], [], 0
+    if members:
+        yield members, held
+
+
+def placed(parts: list[np.ndarray], known: int, starts: list[list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of texts given as numbers below `known`: their rows, the number behind each row, each text's first window."""
+    flat = np.concatenate(parts)
+    row = np.zeros(known, np.int64)
+    row[flat] = 1
+    which = np.flatnonzero(row)
+    row[which] = np.arange(len(which))
+    begins = [np.array(windows_of(len(own)) if starts is None else starts[n], np.int64) for n, own in enumerate(parts)]
+    counts = np.array([len(own) for own in begins])
+    sizes = np.array([len(own) for own in parts])
+    base = np.cumsum(sizes) - sizes
+    place = (np.concatenate(begins) + np.repeat(base, counts))[:, None] + np.arange(WINDOW)
+    at = np.where(place < np.repeat(base + sizes, counts)[:, None], row[flat][np.minimum(place, len(flat) - 1)], len(which))
+    return at, which, np.cumsum(counts) - counts
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 5) -> Network:
@@ -226,23 +253,24 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5) -> Network:
     y = np.array(labels, np.float32)
     share = (y.sum() + 0.5) / (len(y) + 10) if len(y) else 0.05
     net.prior = float(np.log(share / (1 - share)))
-    docs = [words_of(t) for t in texts]
-    usable = np.array([n for n, d in enumerate(docs) if d], np.int64)
+    words, docs = numbered([words_of(t) for t in texts])
+    usable = np.array([n for n, d in enumerate(docs) if len(d)], np.int64)
     if len(usable) == 0 or len(set(y[usable].tolist())) < 2:
         net.w["out"][:], net.w["bias"][0] = 0, net.prior
         return net
     toxic, clean = usable[y[usable] == 1], usable[y[usable] == 0]
     moments = {k: (np.zeros_like(v), np.zeros_like(v), [0]) for k, v in net.w.items()}
     chosen = np.concatenate([toxic, clean[:FIRST_CLEAN]])
-    _epochs(net, moments, docs, y, chosen, max(EPOCHS, -(-240 * BATCH_DOCS // len(chosen))), 1.0, draw)
+    _epochs(net, moments, words, docs, y, chosen, max(EPOCHS, -(-240 * BATCH_DOCS // len(chosen))), 1.0, draw)
     for _ in range(ROUNDS if len(clean) > FIRST_CLEAN else 0):
-        risky = net.scores([texts[n] for n in clean]) > HARD
+        logits = [net.logits(words, parts) for _, parts in chunks(docs[n] for n in clean)]
+        risky = _sigmoid(np.concatenate(logits)) > HARD
         chosen = np.unique(np.concatenate([chosen, clean[risky]]))
-        _epochs(net, moments, docs, y, chosen, MORE_EPOCHS, 4.0, draw)
+        _epochs(net, moments, words, docs, y, chosen, MORE_EPOCHS, 4.0, draw)
     return net
 
 
-def _epochs(net: Network, moments: dict, docs: list, y: np.ndarray, chosen: np.ndarray, epochs: int, sharp: float, draw: np.random.Generator) -> None:
+def _epochs(net: Network, moments: dict, words: Words, docs: list, y: np.ndarray, chosen: np.ndarray, epochs: int, sharp: float, draw: np.random.Generator) -> None:
     """Train on the chosen documents with a soft maximum over windows, sharper towards the end."""
     done, steps = 0, epochs * -(-len(chosen) // BATCH_DOCS)
     for epoch in range(epochs):
@@ -251,21 +279,21 @@ def _epochs(net: Network, moments: dict, docs: list, y: np.ndarray, chosen: np.n
         for a in range(0, len(order), BATCH_DOCS):
             own = order[a : a + BATCH_DOCS]
             rate = RATE * (1 - 0.9 * done / steps) * (1 if sharp == 1 else 0.3)
-            _descend(net, moments, [docs[n] for n in own], y[own], sharpness, rate, draw)
+            _descend(net, moments, words, [docs[n] for n in own], y[own], sharpness, rate, draw)
             done += 1
 
 
-def _descend(net: Network, moments: dict, parts: list, y: np.ndarray, sharp: float, rate: float, draw: np.random.Generator) -> None:
+def _descend(net: Network, moments: dict, words: Words, parts: list, y: np.ndarray, sharp: float, rate: float, draw: np.random.Generator) -> None:
     read, starts = [], []
     for own in parts:
         every = windows_of(len(own))
         if len(every) > SAMPLE_WINDOWS:  # only the words of the drawn windows, one window after another
             drawn = [every[k] for k in draw.choice(len(every), SAMPLE_WINDOWS, replace=False)]
-            own, every = [w for a in drawn for w in own[a : a + WINDOW]], [n * WINDOW for n in range(SAMPLE_WINDOWS)]
+            own, every = np.concatenate([own[a : a + WINDOW] for a in drawn]), [n * WINDOW for n in range(SAMPLE_WINDOWS)]
         read.append(own)
         starts.append(every)
-    at, index, first = placed(read, starts)
-    inputs = net.inputs(list(index))
+    at, which, first = placed(read, len(words.buckets), starts)
+    inputs = net.inputs(words, which)
     seen = net.forward(inputs["x"], at, keep=True)
     sizes = np.diff([*first, len(at)])
     top = np.maximum.reduceat(seen["logit"], first)

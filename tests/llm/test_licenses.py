@@ -44,3 +44,21 @@ def test_gradient_sums():
     np.add.at(want, where, rows)
     assert np.allclose(toxicity._summed(rows, where, 60), want, atol=1e-5)
     assert not toxicity._summed(rows[:0], where[:0], 60).any()
+
+
+def test_gradients_equal_finite_differences():
+    words, parts = toxicity.numbered([toxicity.words_of("a b c d e f g"), toxicity.words_of(" ".join(f"w{k % 9}" for k in range(70)))])
+    net = toxicity.Network(1)
+    net.w = {name: value.astype(np.float64) for name, value in net.w.items()}
+    at, which, _ = toxicity.placed(parts, len(words.buckets))
+    slope = np.arange(1, len(at) + 1) / 2
+    own = net.inputs(words, which)
+    made = net.backward(own, net.forward(own["x"], at, keep=True), slope)
+    for name, value in net.w.items():
+        place = np.unravel_index(np.abs(made[name]).argmax(), value.shape)
+        was, sums = value[place], []
+        for shift in (1e-3, -1e-3):
+            value[place] = was + shift
+            sums.append((net.forward(net.inputs(words, which)["x"], at)["logit"] * slope).sum())
+        value[place] = was
+        assert abs((sums[0] - sums[1]) / 2e-3 - made[name][place]) < 1e-4, name
