@@ -1,7 +1,9 @@
 """Licence scans with DataFrame functions only: Dice coefficient of word bigrams against licence templates.
 
-Two sets of a and b bigrams reach a coefficient t only if b lies between a t / (2 - t) and a (2 - t) / t, so templates
-of other sizes are not compared.
+A document is compared as a whole, block by block (blocks end at blank lines) and line by line, so a licence is found
+alone and inside a longer text. Two sets of a and b bigrams reach a coefficient t only if b lies between a t / (2 - t)
+and a (2 - t) / t, so templates of other sizes are not compared; the sets then share at least a t / (2 - t) bigrams, so
+a passage that shares fewer with all templates together is compared with none. All of it is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,41 +16,130 @@ from pyspark.sql import functions as F
 from quillfen.llm.common import table, text_or_empty
 
 THRESHOLD = 0.8
-# The wording of public licences and notices.
-TEMPLATES = {
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+#: Templates of at most so many bigrams form one group, longer ones another; it only saves time.
+SHORT = 24
+# How a notice names its licence.
+NOTICES = ["Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "Distributed under the terms of {}."]
+NAMES = {
+    "AGPL-3.0": "the GNU Affero General Public License, version 3",
+    "Apache-2.0": "the Apache License, Version 2.0",
+    "BSD-2-Clause": "the BSD 2-Clause License",
+    "BSD-3-Clause": "the BSD 3-Clause License",
+    "BSL-1.0": "the Boost Software License, Version 1.0",
+    "CC-BY-4.0": "CC BY 4.0",
+    "CC-BY-NC-4.0": "CC BY-NC 4.0",
+    "CC-BY-NC-ND-4.0": "CC BY-NC-ND 4.0",
+    "CC-BY-NC-SA-4.0": "CC BY-NC-SA 4.0",
+    "CC-BY-ND-4.0": "CC BY-ND 4.0",
+    "CC-BY-SA-4.0": "CC BY-SA 4.0",
+    "CC0-1.0": "CC0 1.0 Universal",
+    "EPL-2.0": "the Eclipse Public License, version 2.0",
+    "GPL-2.0": "the GNU General Public License, version 2",
+    "GPL-3.0": "the GNU General Public License, version 3",
+    "ISC": "the ISC License",
+    "LGPL-2.1": "the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "the GNU Lesser General Public License, version 3",
+    "MIT": "the MIT License",
+    "MPL-2.0": "the Mozilla Public License, version 2.0",
 }
+# The wording of public licences and of the notices that they ask for.
+WORDINGS = {
+    "Apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "GPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "MIT": [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+}
+
+
+def bigrams_of(text: str) -> list[str]:
+    words = re.findall("[a-z0-9]+", text.lower())
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+
+
+def templates() -> list[tuple[str, str]]:
+    """(name, wording) of every template."""
+    notices = [(name, form.format(called)) for name, called in NAMES.items() for form in NOTICES]
+    return notices + [(name, text) for name, texts in WORDINGS.items() for text in texts]
+
+
+def _literals(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values))
 
 
-def _words(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text.lower())
+def _best(passage: Column, group: list[tuple[str, list[str]]], threshold: float) -> Column:
+    """The best template of a passage (its bigrams) as (d, name), d being the negated coefficient, 0 without any."""
+    size = F.size(passage)
 
+    def dice(want: list[str]) -> Column:
+        fits = (size >= len(want) * threshold / (2 - threshold)) & (size <= len(want) * (2 - threshold) / threshold)
+        return F.when(fits, F.lit(2.0) * F.size(F.array_intersect(passage, _literals(want))) / (size + len(want))).otherwise(0.0)
 
-def dice(text: Column, template: str, threshold: float) -> Column:
-    """The coefficient where the sizes allow the threshold, else null."""
-    words = _words(template)
-    want = sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
-    size, n = F.size("bigrams"), len(want)
-    fits = (size >= n * threshold / (2 - threshold)) & (size <= n * (2 - threshold) / threshold)
-    common = F.size(F.array_intersect("bigrams", F.array(*map(F.lit, want))))
-    return F.when(fits, F.lit(2.0) * common / (size + n))
+    return F.array_min(F.array(*[F.struct((-dice(want)).alias("d"), F.lit(name).alias("name")) for name, want in group]))
+
+
+def _scored(passages: Column, group: list[tuple[str, list[str]]], threshold: float) -> Column:
+    """The best template of every passage that the sizes and the bigrams of the whole group allow."""
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    fewest, largest = min(len(b) for _, b in group) * low, max(len(b) for _, b in group) * high
+    union = _literals(sorted({b for _, want in group for b in want}))
+
+    def near(p: Column) -> Column:
+        return (F.size(p) >= fewest) & (F.size(p) <= largest) & (F.size(F.array_intersect(p, union)) >= F.size(p) * low - 1e-9)
+
+    return F.transform(F.filter(passages, near), lambda p: _best(p, group, threshold))
 
 
 def licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: key, license (best template of at least the threshold, else null) and dice (0 without).
+    """One row per document: key, license (best template of at least the threshold, else null), dice (0 without), found.
 
-    Null texts and texts of fewer than two words match nothing; ties go to the first name.
+    `found` lists the licences that are the best match of some passage, sorted and joined by commas. Null texts and
+    passages of fewer than two words match nothing; ties go to the first name. Repeated rows come back as often as
+    they came in, and an empty table gives an empty one.
     """
-    words = F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit("[a-z0-9]+"), F.lit(0))
-    rows = docs.select(F.col(key).alias("key"), words.alias("words"))
-    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    rows = rows.select("key", F.array_distinct(pairs).alias("bigrams"))
-    scored = F.array(*[F.struct((-F.coalesce(dice(F.col("bigrams"), t, threshold), F.lit(0.0))).alias("d"), F.lit(n).alias("name")) for n, t in sorted(TEMPLATES.items())])
-    best = rows.select("key", F.array_min(scored).alias("best"))
-    score = -F.col("best.d")
-    return best.select(F.col("key").alias(key), F.when(score >= threshold, F.col("best.name")).alias("license"), F.when(score >= threshold, score).otherwise(0.0).alias("dice"))
+    wanted = [(name, bigrams_of(wording)) for name, wording in templates()]
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    least, most = min(len(b) for _, b in wanted) * low, max(len(b) for _, b in wanted) * high
+    own = text_or_empty(text)
+    passages = F.array_distinct(F.concat(F.split(own, "\n"), F.split(own, r"\n\s*\n"), F.array(own)))
+    rows = docs.select(F.col(key).alias("key"), F.filter(passages, lambda p: F.length(p) > 2 * least).alias("passages"))
+    rows = rows.select("key", F.transform("passages", lambda p: F.regexp_extract_all(F.lower(p), F.lit("[a-z0-9]+"), F.lit(0))).alias("words"))
+    # A passage has fewer bigrams than words, and at least as many different ones as different words but one.
+    rows = rows.select("key", F.filter("words", lambda w: (F.size(w) > least) & (F.size(F.array_distinct(w)) - 1 <= most)).alias("words"))
+
+    def pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.array_distinct(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    rows = rows.select("key", F.transform("words", pairs).alias("passages"))
+    short, long = ([x for x in wanted if (len(x[1]) <= SHORT) == small] for small in (True, False))
+    scored = [_scored(F.col("passages"), group, threshold) for group in (short, long)]
+    rows = rows.select("key", F.filter(F.concat(*scored), lambda s: -s["d"] >= threshold).alias("hits"))
+    best = F.array_min("hits")
+    return rows.select(
+        F.col("key").alias(key),
+        best["name"].alias("license"),
+        F.coalesce(-best["d"], F.lit(0.0)).alias("dice"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda s: s["name"]))), ",").alias("found"),
+    )
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,27 +13,37 @@ def bigrams(text):
 
 
 def brute(text):
-    best = (0.0, None)
-    for name, template in sorted(licenses.TEMPLATES.items()):
-        a, b = bigrams(text), bigrams(template)
-        score = 2 * len(a & b) / (len(a) + len(b))
-        if score >= licenses.THRESHOLD and score > best[0]:
-            best = (score, name)
-    return best
+    """Every line, block and the whole text against every template: the best match, and the best names of all passages."""
+    text = text or ""
+    best, names = (0.0, None), set()
+    for passage in {*text.split("\n"), *re.split(r"\n\s*\n", text), text}:
+        own, a = (0.0, None), bigrams(passage)
+        for name, template in sorted(licenses.templates()):
+            b = bigrams(template)
+            score = 2 * len(a & b) / (len(a) + len(b))
+            if score >= licenses.THRESHOLD and score > own[0]:
+                own = (score, name)
+        names.add(own[1])
+        if own[1] and (-own[0], own[1]) < (-best[0], best[1] or ""):
+            best = own
+    return best[0], best[1], ",".join(sorted(names - {None}))
 
 
 def test_licences_equal_brute_force(spark):
-    whole = list(licenses.TEMPLATES.values())
-    texts = [None, "", "word", "two words", *whole, *[t.upper() + "  (c) 2020 someone" for t in whole]]
+    whole = [t for texts in licenses.WORDINGS.values() for t in texts]
+    texts = [None, "", "word", "two words", "\n\n", *whole, *[t.upper() + "  (c) 2020 someone" for t in whole]]
     texts += [" ".join(t.split()[: len(t.split()) * share // 10]) for t in whole for share in (5, 7, 8, 9)]
-    texts += [whole[0] + " " + whole[1], whole[0], "x " * 20_000 + whole[0]]
+    texts += [whole[0] + " " + whole[1], whole[0], "x " * 20_000 + whole[0], "Some prose.\nLicensed under CC BY-NC 4.0.\nMore prose, of no licence.\n\nReleased under the MIT License."]
+    texts += ["A title\n\n" + t.replace(". ", ".\n") + "\n \nThe end of it" for t in whole]
+    texts += [f"line {k}\n{t}" for k, (_, t) in enumerate(licenses.templates())]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' as license", "1 as dice", "2 as bigrams")
-    found = {r["doc_id"]: (r["dice"], r["license"]) for r in licenses.licenses(docs).collect()}
+    found = {r["doc_id"]: r for r in licenses.licenses(docs).collect()}
     assert len(found) == len(texts)
     for n, text in enumerate(texts):
-        score, name = brute(text)
-        assert found[n][1] == name and abs(found[n][0] - score) < 1e-12, (n, text)
-    assert sum(name is not None for _, name in found.values()) >= 7
+        score, name, names = brute(text)
+        assert (found[n]["license"], found[n]["found"]) == (name, names) and abs(found[n]["dice"] - score) < 1e-12, (n, text)
+    mixed = next(n for n, t in enumerate(texts) if t and t.startswith("Some prose"))
+    assert found[mixed]["found"] == "CC-BY-NC-4.0,MIT"
     assert licenses.licenses(docs.limit(0)).count() == 0
 
 
