@@ -3,11 +3,13 @@
 A document is compared as a whole, block by block (blocks end at blank lines) and line by line, so a licence is found
 alone and inside a longer text. Two sets of a and b bigrams reach a coefficient t only if b lies between a t / (2 - t)
 and a (2 - t) / t, so templates of other sizes are not compared; the sets then share at least a t / (2 - t) bigrams, so
-a passage that shares fewer with all templates together is compared with none. All of it is one pass without a shuffle.
+a passage that shares fewer with all templates together is compared with none. By the same bound, a text that has none
+of the `telling_words` matches no template and is not cut up at all. All of it is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,8 @@ from quillfen.llm.common import table, text_or_empty
 THRESHOLD = 0.8
 #: Templates of at most so many bigrams form one group, longer ones another; it only saves time.
 SHORT = 24
+#: Words that most prose has; they are taken as telling only where no others suffice.
+COMMON = {"a", "and", "any", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "or", "that", "the", "this", "to", "under", "with", "you"}
 # How a notice names its licence.
 NOTICES = ["Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "Distributed under the terms of {}."]
 NAMES = {
@@ -81,6 +85,22 @@ def templates() -> list[tuple[str, str]]:
     return notices + [(name, text) for name, texts in WORDINGS.items() for text in texts]
 
 
+def telling_words(wanted: list[list[str]], threshold: float) -> list[str]:
+    """Words one of which every match has: without them more bigrams of a template are missing than a match may miss.
+
+    A match has n t / (2 - t) of the n bigrams of its template at least. Long words are taken first.
+    """
+    chosen: set[str] = set()
+    for bigrams in wanted:
+        pairs = [set(b.split()) for b in bigrams]
+        spare = len(pairs) - math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9)
+        for word in sorted(set().union(*pairs), key=lambda w: (w in COMMON, -len(w), w)):
+            if sum(bool(pair & chosen) for pair in pairs) > spare:
+                break
+            chosen.add(word)
+    return sorted(chosen)
+
+
 def _literals(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
@@ -119,8 +139,10 @@ def licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = min(len(b) for _, b in wanted) * low, max(len(b) for _, b in wanted) * high
     own = text_or_empty(text)
+    telling = "(?<![a-z0-9])(?:" + "|".join(telling_words([b for _, b in wanted], threshold)) + ")"
     passages = F.array_distinct(F.concat(F.split(own, "\n"), F.split(own, r"\n\s*\n"), F.array(own)))
-    rows = docs.select(F.col(key).alias("key"), F.filter(passages, lambda p: F.length(p) > 2 * least).alias("passages"))
+    passages = F.when(F.lower(own).rlike(telling), F.filter(passages, lambda p: F.length(p) > 2 * least))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(passages, F.array().cast("array<string>")).alias("passages"))
     rows = rows.select("key", F.transform("passages", lambda p: F.regexp_extract_all(F.lower(p), F.lit("[a-z0-9]+"), F.lit(0))).alias("words"))
     # A passage has fewer bigrams than words, and at least as many different ones as different words but one.
     rows = rows.select("key", F.filter("words", lambda w: (F.size(w) > least) & (F.size(F.array_distinct(w)) - 1 <= most)).alias("words"))
