@@ -4,14 +4,20 @@ Fingerprints collapse to distinct values first. 64 bits are cut into `d + c` blo
 differing bits agree on at least c of them, so a join on every choice of c blocks finds every close pair. c grows with
 the number of distinct fingerprints (2 blocks or 25 bits below four million, 3 or 32 bits below four billion, else 4),
 so that chance meetings in a block stay few at any size; no bucket is capped.
+
+`keep_similar` serves corpora, where copies of a Jaccard similarity of 0.8 count: fingerprints of such texts differ in
+about 10 of 64 bits, too many for blocks. Its candidates share a shingle among the rarest of both texts, which every
+pair of the similarity does (prefix filter), and are verified by the exact coefficient; no pair is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,21 +28,32 @@ from quillfen.session import cut_lineage
 
 SEED = 42
 PIECE = 1 << 16
+#: Jaccard similarity from which texts of a corpus are near copies.
+SIMILAR = 0.8
+#: Sets from which frequent shingles are learned, and how many of those are told to tasks; they only save time.
+SAMPLE, FREQUENT = 4000, 200_000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LANES = (np.arange(8) * 256).astype(np.int64)
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles, as an unsigned number; 0 without words."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of all word shingles of a text in order; a shorter text is one shingle, a wordless one has none."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
     if len(tokens) < words:
         shingles = [b" ".join(tokens)]
     else:
         shingles = map(b" ".join, zip(*[tokens[k:] for k in range(words)], strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), "<u8")
+    return np.fromiter((digest(s, SEED) for s in shingles), "<u8")
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The 64-bit SimHash of a text's word shingles, as an unsigned number; 0 without words."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
     counts = np.zeros((8, 8), np.int64)
     for start in range(0, len(hashes), PIECE):
         lanes = hashes[start : start + PIECE].view(np.uint8).reshape(-1, 8) + _LANES
@@ -130,7 +147,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     marked = rows.select("row_", F.col("row_").getField(key).alias("key"), whole.alias("whole"))
     prints = cut_lineage(marked.select("key", "whole", fingerprints(text_or_empty(F.col("row_").getField(text)), words).alias("fp")))
     first = F.min(F.struct(F.col("key").isNull().alias("late"), "key", "whole")).alias("best")
-    low = prints.groupBy("fp").agg(first).join(grouped(prints, distance), "fp")
+    return _first_rows(marked, prints.groupBy("fp").agg(first).join(grouped(prints, distance), "fp"))
+
+
+def _first_rows(marked: DataFrame, low: DataFrame) -> DataFrame:
+    """The marked rows that are the best of their root; `low` has best and root."""
     best = low.groupBy("root").agg(F.min("best").alias("best")).select("best.key", "best.whole")
     kept = marked.alias("m").join(
         best.alias("b"), (F.col("m.whole") == F.col("b.whole")) & F.col("m.key").eqNullSafe(F.col("b.key"))
@@ -139,5 +160,120 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     return kept.select("row_", turn.alias("turn")).where("turn = 1").select("row_.*")
 
 
+def shingle_sets(text: Column, words: int) -> Column:
+    """The distinct shingle hashes of a text column, sorted, as little-endian signed 64-bit integers."""
+
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words).view("<i8")).tobytes() for t in texts], dtype=object)
+
+    return run(text)
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles seen repeatedly in a bounded sample of sets, and how often; they only set the order of the prefixes."""
+    sample = sets.orderBy("sid").limit(SAMPLE).select("set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = np.frombuffer(b"".join(batch.column("set").to_pylist()), "<i8")
+            found, counts = np.unique(every, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], names=["h", "n"])
+
+    counted = sample.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    rows = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).orderBy("h").toArrow()
+    return rows.column("h").to_numpy(), rows.column("n").to_numpy()
+
+
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(h, sid, size): the n - ceil(t n) + 1 rarest shingles of every set; two sets of similarity t share one of them.
+
+    They share t n shingles of either set at least, and both are read in one order, so the first shared one lies there.
+    """
+    known, counts = _frequent(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sids = batch.column("sid").to_numpy()
+            kept, sizes = [], []
+            for data in batch.column("set").to_pylist():
+                own = np.frombuffer(data, "<i8")
+                first = len(own) - int(np.ceil(len(own) * threshold - 1e-9)) + 1
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    often = np.where(known[place] == own, counts[place], 0)
+                    own = own[np.lexsort((own, often))]
+                kept.append(own[:first])
+                sizes.append(len(own))
+            number = [len(k) for k in kept]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(kept)), pa.array(np.repeat(sids, number)), pa.array(np.repeat(np.array(sizes, np.int32), number))], names=["h", "sid", "size"]
+            )
+
+    return sets.where(F.length("set") > 0).select("sid", "set").mapInArrow(run, "h bigint, sid bigint, size int")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of set ids whose Jaccard coefficient is at least the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
+                place = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                both = int((x[place] == y).sum())
+                keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x, y = sets.select(F.col("sid").alias("a"), F.col("set").alias("x")), sets.select(F.col("sid").alias("b"), F.col("set").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_groups(sets: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(sid, root) of the distinct sets (sid, set): components of the pairs of at least the similarity.
+
+    First every set meets one set of each of its buckets (shingle and band of sizes), which joins groups of many
+    copies; then all sets of a bucket meet that are still apart. Pairs within a component need no check.
+    """
+    entries = cut_lineage(prefixes(sets, threshold))
+    crowded = entries.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    entries = cut_lineage(entries.join(crowded, "h"))
+    band = F.floor(F.log("size") / F.log(F.lit(1 / threshold)))
+    banded = entries.withColumn("band", band)
+    pivots = banded.groupBy("h", "band").agg(F.min("sid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = banded.join(pivots, ["h", "band"]).where("sid != b").select(F.col("sid").alias("a"), "b").distinct()
+    near = cut_lineage(_similar(pairs, sets, threshold))
+    roots = cut_lineage(components(near))
+    # Buckets whose sets are all in one component are done.
+    placed = entries.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("h", "sid", "size", F.coalesce("root", "sid").alias("root"))
+    open_ = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("h")
+    placed = cut_lineage(placed.join(open_, "h"))
+    l, r = placed.alias("l"), placed.alias("r")
+    on = (F.col("l.h") == F.col("r.h")) & (F.col("l.sid") < F.col("r.sid")) & (F.col("l.root") != F.col("r.root"))
+    fits = F.least("l.size", "r.size") >= threshold * F.greatest("l.size", "r.size") - 1e-9
+    rest = l.join(r, on & fits).select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
+    linked = components(near.unionByName(_similar(rest, sets, threshold)))
+    return sets.join(linked, sets["sid"] == linked["node"], "left").select("sid", F.coalesce("root", "sid").alias("root"))
+
+
+def keep_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = SIMILAR) -> DataFrame:
+    """The documents with one row of every group of similar texts: that of the smallest key (nulls last).
+
+    Texts are linked if the Jaccard coefficient of their distinct word shingles is at least the threshold; texts
+    without words are linked with each other. Columns and repeated rows are treated as by `keep_one`.
+    """
+    rows = packed(docs)
+    whole = F.xxhash64(*[F.col("row_").getField(name) for name in docs.columns])
+    marked = rows.select("row_", F.col("row_").getField(key).alias("key"), whole.alias("whole"))
+    prints = marked.select("key", "whole", shingle_sets(text_or_empty(F.col("row_").getField(text)), words).alias("set"))
+    prints = cut_lineage(prints.withColumn("sid", F.xxhash64("set")))
+    sets = cut_lineage(prints.groupBy("sid").agg(F.first("set").alias("set")))
+    first = F.min(F.struct(F.col("key").isNull().alias("late"), "key", "whole")).alias("best")
+    return _first_rows(marked, prints.groupBy("sid").agg(first).join(similar_groups(sets, threshold), "sid"))
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
