@@ -4,7 +4,7 @@ Unit vectors are cut in halves; a codebook is trained on each half (k-means on a
 codewords form a grid of cells. A vector lives in the cell of its nearest codewords and visits cells in the order of
 the multi-sequence traversal, by the sum of the distances of its halves. How many cells it visits is measured: a
 sample of vectors is compared with all rows by brute force, and the traversal goes on until the cells of the wanted
-share of their partners have been reached. What meets in a cell is verified by cosine in double precision.
+share of their partners have been reached; where too few have partners, drawn ones at the threshold count. What meets in a cell is verified by cosine in double precision.
 
 Equal vectors collapse before and count as often as they occur. A cell with more rows than BLOCK is compared block
 against block, so no task holds more than two blocks; nothing is capped. Tasks return link counts and, for components,
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,11 @@ from quillfen.session import cut_lineage
 THRESHOLD = 0.9
 SAMPLE = 20_000
 QUERIES = 128
+#: Ordinary queries with partners that suffice to measure recall, and the most vectors that are asked to find them.
+ENOUGH, MOST_QUERIES = 64, 2048
 RECALL = 0.999
+#: Where fewer are seen: the share of drawn partners to be found, and partners drawn for each query.
+EXPECTED, DRAWN = 0.99, 8
 LEAST_CELLS = 4
 PER_CELL = 16
 CODEWORDS = 256
@@ -105,8 +110,42 @@ def distinct_vectors(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame,
     return all_rows, all_rows.where("v is not null and key is not null").groupBy("v").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("times"))
 
 
+def _reached(ranks: np.ndarray, shares: np.ndarray, recall: float) -> int:
+    """The visits that reach the wanted share of the partners, given by rank in ascending order."""
+    return int(ranks[min(np.searchsorted(np.cumsum(shares), recall * shares.sum() - 1e-9), len(ranks) - 1)]) + 1
+
+
+def _unseen_visits(index: Index, asked: np.ndarray, threshold: float) -> int:
+    """Visits that find EXPECTED of the partners drawn at the threshold in random directions, where the rows show too few.
+
+    A pair is found if either vector visits the home of the other one, so the nearer rank of both counts.
+    """
+    draw, near = np.random.default_rng(6), []
+    for _ in range(DRAWN):
+        aside = draw.standard_normal(asked.shape)
+        aside -= (aside * asked).sum(1)[:, None] * asked
+        length = np.linalg.norm(aside, axis=1, keepdims=True)
+        other = threshold * asked + (1 - threshold**2) ** 0.5 * aside / np.where(length > 1e-9, length, 1)
+        both = []
+        for own, partner in ((asked, other), (other, asked)):
+            d1, d2 = index.distances(own)
+            home = index.cells(partner, 1)[:, 0]
+            at = np.arange(len(own))
+            limit = d1[at, home // len(index.second)] + d2[at, home % len(index.second)]
+            order = np.sort(d2, axis=1)
+            both.append(np.array([np.searchsorted(order[k], limit[k] - d1[k] - 1e-12).sum() for k in at]))
+        near.append(np.minimum(*both))
+    ranks = np.sort(np.concatenate(near))
+    return _reached(ranks, np.ones(len(ranks)), EXPECTED)
+
+
 def fit(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, queries: int = QUERIES, recall: float = RECALL) -> Index | None:
-    """Codebooks from `sample` rows of smallest hash, and the visits that reach the wanted recall on `queries` of them."""
+    """Codebooks from `sample` rows of smallest hash, and the visits that reach the wanted recall.
+
+    Recall is the mean over those of the asked vectors that have partners, and must hold for every magnitude of the
+    number of partners on its own, so that a dense group does not speak for the ordinary ones. `queries` vectors are
+    asked first, more up to MOST_QUERIES while fewer than ENOUGH ordinary ones with partners have been seen.
+    """
     rows = vectors.select("v").orderBy(F.xxhash64("v")).limit(sample).toArrow()
     total = vectors.count()
     if not total:
@@ -115,34 +154,58 @@ def fit(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
     words = int(np.clip(round((total / PER_CELL) ** 0.5), 1, min(CODEWORDS, len(drawn))))
     half = max(1, drawn.shape[1] // 2)
     index = Index(_codebook(drawn[:, :half], words), _codebook(drawn[:, half:], words), 1)
-    asked = drawn[:queries]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d1, d2 = index.distances(asked)
-        sums = (d1[:, :, None] + d2[:, None, :]).reshape(len(asked), -1)
-        ranks = np.empty(sums.shape, np.int32)
-        np.put_along_axis(ranks, np.argsort(sums, axis=1, kind="stable").astype(np.int32), np.arange(sums.shape[1], dtype=np.int32)[None, :], 1)
-        counts = np.zeros(sums.shape[1], np.int64)
-        for batch in batches:
-            own = unit(_matrix(batch.column("v")))
-            home = index.cells(own, 1)[:, 0]
-            row, query = np.nonzero((own @ asked.T >= threshold) & (own @ asked.T < 1 - 1e-12))
-            counts += np.bincount(ranks[query, home[row]], minlength=len(counts))
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["rank", "n"])
-
-    seen = vectors.select("v").mapInArrow(run, "rank bigint, n bigint").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()
-    need, reached = recall * sum(r["n"] for r in seen), 0
-    for row in seen:
-        reached += row["n"]
-        index.visits = int(row["rank"]) + 1
-        if reached >= need:
+    while True:
+        seen = _partners(vectors, index, drawn[:queries], threshold)
+        sizes = {q: n for q, n in seen.groupby("query")["n"].sum().items()}
+        largest = max(sizes.values(), default=0)
+        ordinary = sum(n <= largest / 8 or largest <= ENOUGH for n in sizes.values())
+        if ordinary >= ENOUGH or queries >= min(MOST_QUERIES, len(drawn)):
             break
+        queries *= 4
+    if len(seen):
+        seen["share"] = seen["n"] / seen["query"].map(sizes)
+        seen["magnitude"] = np.log2(seen["query"].map(sizes).to_numpy()).astype(int)
+        for _, own in seen.groupby("magnitude"):
+            own = own.sort_values("rank")
+            index.visits = max(index.visits, _reached(own["rank"].to_numpy(), own["share"].to_numpy(), recall))
     # The sample may hold few pairs: visit twice as far, and a few cells at least.
-    index.visits = min(max(2 * index.visits, LEAST_CELLS), len(index.first) * len(index.second))
+    index.visits = max(2 * index.visits, LEAST_CELLS)
+    if ordinary < ENOUGH and len(drawn) > ordinary and drawn.shape[1] > 1:
+        index.visits = max(index.visits, _unseen_visits(index, drawn[:QUERIES], threshold))
+    index.visits = min(index.visits, len(index.first) * len(index.second))
     return index
 
 
+def _partners(vectors: DataFrame, index: Index, asked: np.ndarray, threshold: float) -> pd.DataFrame:
+    """(query, rank, n): how many partners each asked vector has among all rows in the cell of every rank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d1, d2 = index.distances(asked)
+        cells = d1.shape[1] * d2.shape[1]
+        ranks: dict[int, np.ndarray] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                own = unit(_matrix(whole.column("v").slice(at, BATCH)))
+                home = index.cells(own, 1)[:, 0]
+                cosine = own @ asked.T
+                row, query = np.nonzero((cosine >= threshold) & (cosine < 1 - 1e-12))
+                if not len(row):
+                    continue
+                found, counts = np.unique(query.astype(np.int64) * cells + home[row], return_counts=True)
+                query, cell = np.divmod(found, cells)
+                rank = np.empty(len(found), np.int64)
+                for q in np.unique(query).tolist():
+                    if q not in ranks:
+                        order = np.argsort((d1[q][:, None] + d2[q][None, :]).ravel(), kind="stable")
+                        ranks[q] = np.empty(cells, np.int32)
+                        ranks[q][order] = np.arange(cells, dtype=np.int32)
+                    rank[query == q] = ranks[q][cell[query == q]]
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(rank), pa.array(counts)], names=["query", "rank", "n"])
+
+    counted = vectors.select("v").mapInArrow(run, "query bigint, rank bigint, n bigint")
+    return counted.groupBy("query", "rank").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+
+
 def _placed(vectors: DataFrame, index: Index) -> DataFrame:
     """One row per vector and visited cell; the first visited cell is the vector's home."""
 

@@ -3,6 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
+from quillfen.llm import multiindex
 
 
 def shingles(text):
@@ -45,3 +46,22 @@ def test_run_keeps_one_of_every_group_of_near_copies(spark, tmp_path):
     want = survivors(texts)
     assert len(texts) - len(want) > 50
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, folder).select("doc_id").collect()) == want
+
+
+def test_visits_reach_links_that_few_queries_or_only_ordinary_ones_have(spark):
+    draw = np.random.default_rng(5)
+
+    def pairs(count, cosine):
+        x = multiindex.unit(draw.standard_normal((count, 64)))
+        y = draw.standard_normal((count, 64))
+        y = multiindex.unit(y - (y * x).sum(1)[:, None] * x)
+        return x, cosine * x + (1 - cosine**2) ** 0.5 * y
+
+    left, right = pairs(400, 0.91)
+    dense = multiindex.unit(multiindex.unit(draw.standard_normal((1, 64))) + 0.025 * draw.standard_normal((3000, 64)))
+    for others in (draw.standard_normal((9800, 64)), np.concatenate([draw.standard_normal((5800, 64)), dense])):
+        vectors = np.concatenate([left[:5], right[:5], multiindex.unit(others)])  # one vector in a thousand has a partner
+        index = multiindex.fit(spark.createDataFrame([(v.tolist(),) for v in vectors], "v array<double>"))
+        (h1, h2), (v1, v2) = ([index.cells(x, n) for x in (left, right)] for n in (1, index.visits))
+        met = [h2[k, 0] in v1[k] or h1[k, 0] in v2[k] for k in range(400)]
+        assert np.mean(met) >= 0.97, (index.visits, np.mean(met))
