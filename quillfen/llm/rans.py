@@ -154,15 +154,18 @@ class WordIds:
 
     The tokenizer normalises (NFC, lower case), splits by its own pattern and merges within pieces. Below U+0250 the
     normal form changes nothing but ASCII capitals matter less, so such texts are split by that pattern here; any
-    other text is only split at ASCII white space, which the tokenizer drops and never looks across.
+    other text is only split at ASCII white space, which the tokenizer drops and never looks across. Before all that the
+    tokenizer cuts its added tokens, such as an end mark written out, from the text as it stands; so does `_parts`.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        splitter = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]
+        built = json.loads(self.tokenizer.to_str())
+        splitter = built["pre_tokenizer"]["pretokenizers"][0]
+        self.added = sorted((t["content"] for t in built["added_tokens"]), key=len, reverse=True)
+        self.cut_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split
         self.pieces = common_pattern(splitter["pattern"]["Regex"]).findall
         self.beyond = re.compile("[^\x00-\u024f]").search
         self.memo: dict[str, bytes] = {}
@@ -182,6 +185,11 @@ class WordIds:
         self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, made, strict=True))
 
     def _parts(self, text: str) -> list[str]:
+        if any(token in text for token in self.added):
+            return [p for k, run in enumerate(self.cut_added(text)) for p in ([run] if k % 2 else self._plain_parts(run))]
+        return self._plain_parts(text)
+
+    def _plain_parts(self, text: str) -> list[str]:
         data = text.encode()
         if self.beyond(text):
             return [word.decode() for word in data.split()]

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from quillfen.llm import multiindex
+from quillfen.llm import multiindex, rans
 
 
 def shingles(text):
@@ -65,3 +65,12 @@ def test_visits_reach_links_that_few_queries_or_only_ordinary_ones_have(spark):
         (h1, h2), (v1, v2) = ([index.cells(x, n) for x in (left, right)] for n in (1, index.visits))
         met = [h2[k, 0] in v1[k] or h1[k, 0] in v2[k] for k in range(400)]
         assert np.mean(met) >= 0.97, (index.visits, np.mean(met))
+
+
+def test_ids_of_texts_with_added_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(rans.VOCABULARY)
+    texts = ["see the <|endoftext|> mark", "<|startoftext|>A<|endoftext|>B<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", "\u4f60<|endoftext|>e\u0301 Na\u00efve<|startoftext|>'s", "<|endoftext|>", "plain", ""]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in rans.WordIds(rans.VOCABULARY).of(texts, 1)] == want
