@@ -35,7 +35,8 @@ BLOCKS = (
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul"
 ).split()
-SKIPPED = "script style title textarea noscript template iframe svg math select button object video audio canvas head".split()
+RAW = "script style title textarea noscript iframe".split()
+SKIPPED = "template svg select button object video audio canvas head".split()
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 # Names of attributes that tell boilerplate from articles in the sample's own labels and in the variants.
 AWAY = (
@@ -47,7 +48,7 @@ HERE = "article content post entry story main body text prose richtext".split()
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_BLOCK_SET, _SKIP_SET, _AWAY_SET, _HERE_SET = set(BLOCKS), set(SKIPPED), set(AWAY), set(HERE)
+_BLOCK_SET, _RAW_SET, _SKIP_SET, _AWAY_SET, _HERE_SET = set(BLOCKS), set(RAW), set(SKIPPED), set(AWAY), set(HERE)
 _FIRST = {name: n + 1 for n, name in enumerate(BLOCKS)}
 
 
@@ -64,6 +65,46 @@ def attribute_tokens(attributes: str) -> list[str]:
     return out
 
 
+def _raw_end(source: str, name: str, at: int) -> int:
+    """Where the text of a raw element ends whose start tag ends at `at`: behind its end tag, or with the page."""
+    end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+    return end.end() if end else len(source)
+
+
+def skipped_runs(source: str) -> dict[int, int]:
+    """Start and end of every skipped element that is closed before its parent ends; the others are read like any tag.
+
+    Only `head` may lack its end tag: the start of the body ends it as well.
+    """
+    runs: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    open_: dict[str, int] = {}
+    at = 0
+    while match := _TAG.search(source, at):
+        at = match.end()
+        name = (match[2] or "").lower()
+        if name in _RAW_SET and not match[1] and not match[3].endswith("/"):
+            at = _raw_end(source, name, at)
+        elif name == "body" and not match[1] and open_.get("head"):
+            runs |= {start: match.start() for own, start in stack if own == "head"}
+            stack, open_ = [], {}
+        if name not in _BLOCK_SET and name not in _SKIP_SET:
+            continue
+        if not match[1]:
+            if name != "hr" and not match[3].endswith("/"):
+                stack.append((name, match.start()))
+                open_[name] = open_.get(name, 0) + 1
+        elif open_.get(name):
+            while True:
+                own, start = stack.pop()
+                open_[own] -= 1
+                if own == name:
+                    break
+            if name in _SKIP_SET:
+                runs[start] = at
+    return runs
+
+
 class Page:
     """Block elements of a page in document order, and its blocks of text as (node, text)."""
 
@@ -73,6 +114,7 @@ class Page:
         self.links = [0]
         self.blocks: list[tuple[int, str]] = []
         stack, buffer, in_link, at = [0], [], 0, 0
+        runs = skipped_runs(source)
 
         def flush() -> None:
             nonlocal in_link
@@ -98,11 +140,11 @@ class Page:
             if name is None:
                 continue
             name = name.lower()
-            if name in _SKIP_SET:
+            if name in _RAW_SET:
                 if not match[1] and not match[3].endswith("/"):
-                    end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                    body = None if end or name != "head" else re.compile("<body", re.I).search(source, at)
-                    at = end.end() if end else body.start() if body else len(source)
+                    at = _raw_end(source, name, at)
+            elif name in _SKIP_SET:
+                at = runs.get(match.start(), at)
             elif name == "a":
                 in_link = 0 if match[1] else 1
             elif name == "br":

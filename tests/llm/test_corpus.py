@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from quillfen.llm import multiindex, rans
+from quillfen.llm import multiindex, pages, rans
 
 
 def shingles(text):
@@ -74,3 +74,14 @@ def test_ids_of_texts_with_added_tokens_equal_the_library():
     texts = ["see the <|endoftext|> mark", "<|startoftext|>A<|endoftext|>B<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", "\u4f60<|endoftext|>e\u0301 Na\u00efve<|startoftext|>'s", "<|endoftext|>", "plain", ""]
     want = [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in rans.WordIds(rans.VOCABULARY).of(texts, 1)] == want
+
+
+def test_unclosed_elements_do_not_end_the_page():
+    for name in "template svg select button object video audio canvas".split():
+        read = lambda source: [text for _, text in pages.Page(source).blocks]
+        assert read(f"<body><p>one</p><{name}>x<p>two</p></body>")[-1] == "two"
+        assert read(f"<div><{name} a=1>x</div><p>two <{name}>gone <b>y</b></{name}>three</p>")[-1] == "two three"
+        assert read(f"<p>one</p><{name}><{name}>in</{name}><script>'</{name}>'</script><div>in</div></{name}><p>two</p>") == ["one", "two"]
+    assert read("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["where x=2 holds"]
+    assert read("<head><title>T</title><body><p>one</p>") == ["one"] and read("<head><title>T</title><p>one</p>") == ["one"]
+    assert read("<p>one</p><script>x<p>two</p>") == ["one"]
