@@ -1,13 +1,14 @@
 """Personal data by patterns and by information theory, with DataFrame functions only.
 
-Base kinds are found by patterns over whole texts. Each distinct base value is a protected entity. Terms near an entity
-(within NEAR characters of any mention) are its candidates: over the whole corpus, with document counts c(.) of N, a
-term t discloses an entity e to the degree PMI(e; t) / IC(e), where PMI = log(N c(e, t) / (c(e) c(t))) and
+Base kinds are found by patterns over whole texts. Each distinct base value is a protected entity. All terms of the
+texts that mention it are its candidates: over the whole corpus, with document counts c(.) of N, a term t discloses an entity e to the degree PMI(e; t) / IC(e), where PMI = log(N c(e, t) / (c(e) c(t))) and
 IC(e) = log(N / c(e)); 1 means that the term gives the entity away whenever it is seen. Co-occurrence must be seen in
-at least LEAST_TEXTS different texts, so the words of one text, however often it is copied, disclose nothing. Terms
+at least LEAST_TEXTS different texts, outside of mentions, so the words of one text, however often it is copied, disclose nothing. Terms
 that reach GENERALISE are generalised, terms that reach REMOVE removed, wherever they occur.
 
-Counts grow with mentions and terms, never with pairs of terms; they are folded by text and by term before shuffles.
+c(e, t) is at most c(e), so a degree g needs c(t) <= N^(1 - g) c(e)^g: more frequent terms never meet the entity. Equal
+texts are folded before entities meet terms; counts grow with mentions and the rare terms beside them, never with
+pairs of terms.
 Patterns are possessive and start at the border of a run, so long runs of digits or letters cost linear time.
 """
 
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 from quillfen.llm.common import packed, row_count, table, text_or_empty
 from quillfen.session import cut_lineage
 
-NEAR = 48
 LEAST_TEXTS = 3
 GENERALISE, REMOVE = 0.85, 0.97
 #: Dictionaries up to so many terms are broadcast (a term is a run of letters, 100 bytes at most here); larger ones join.
@@ -85,24 +85,38 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.xxhash64(key, own).alias("whole"), own.alias("text"))
 
 
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a line break in place of every span."""
+
+    def step(acc: Column, m: Column) -> Column:
+        piece = F.when(m["start"] > acc["at"], F.substring(text, acc["at"] + 1, m["start"] - acc["at"])).otherwise(F.lit(""))
+        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.concat(acc["out"], piece, F.lit("\n")).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
+
+
 def _mentions(rows: DataFrame) -> DataFrame:
-    """(whole, text_key, entity, term) of all terms near mentions of protected entities."""
+    """(text_key, docs, entities, words, outer): distinct texts that mention entities, with all terms and those outside mentions."""
     spans = [_tagged(base_spans(F.col("text"), k), "kind", k) for k in KINDS]
-    found = rows.select("whole", F.xxhash64("text").alias("text_key"), "text", F.concat(*spans).alias("m")).where(F.size("m") > 0)
-    found = found.select("whole", "text_key", "text", F.explode("m").alias("m"))
-    value = F.when(F.col("m.kind").isin("card", "phone"), F.regexp_replace("m.value", "[^0-9]", "")).otherwise(F.lower("m.value"))
-    # One character more than NEAR tells whether a word is cut; cut words are dropped.
-    left = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("m.start") - NEAR), F.least(F.col("m.start"), F.lit(NEAR + 1)))
-    left = F.when(F.col("m.start") > NEAR, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
-    right = F.substring(F.col("text"), F.col("m.end") + 1, F.lit(NEAR + 1))
-    whole = F.length("text") <= F.col("m.end") + NEAR
-    right = F.when(whole, right).otherwise(F.regexp_replace(right, r"\S*$", ""))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat(left, F.lit("\n"), right)), F.lit(_TERM), F.lit(0)))
-    return found.select("whole", "text_key", F.concat_ws(":", "m.kind", value).alias("entity"), words.alias("words"))
+    found = rows.select("whole", "text", F.concat(*spans).alias("m")).where(F.size("m") > 0)
+
+    def entity(m: Column) -> Column:
+        value = F.when(m["kind"].isin("card", "phone"), F.regexp_replace(m["value"], "[^0-9]", "")).otherwise(F.lower(m["value"]))
+        return F.concat_ws(":", m["kind"], value)
+
+    entities = F.array_distinct(F.transform("m", entity))
+    found = found.select("whole", F.xxhash64("text").alias("text_key"), entities.alias("entities"), _words(F.col("text")).alias("words"), _words(_outside(F.col("text"), F.col("m"))).alias("outer"))
+    folded = [F.first(name).alias(name) for name in ("entities", "words", "outer")]
+    return found.groupBy("text_key").agg(F.count_distinct("whole").alias("docs"), *folded)
 
 
 def _terms(rows: DataFrame) -> DataFrame:
-    return rows.select("key", "whole", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
+    return rows.select("key", "whole", F.explode(_words(F.col("text"))).alias("term"))
 
 
 def _bounded(dictionary: DataFrame) -> DataFrame:
@@ -111,19 +125,23 @@ def _bounded(dictionary: DataFrame) -> DataFrame:
 
 def disclosing_terms(rows: DataFrame, least_texts: int = LEAST_TEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(term, kind, degree): the terms that disclose a protected entity, by their strongest entity."""
-    total = row_count(rows)
+    total = float(max(row_count(rows), 1))
     mentions = cut_lineage(_mentions(rows))
-    entities = mentions.groupBy("entity", "whole").agg(F.count(F.lit(1)).alias("n")).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    near = mentions.select("entity", "text_key", "whole", F.explode("words").alias("term"))
-    near = near.groupBy("entity", "term", "text_key").agg(F.count_distinct("whole").alias("docs"))
-    joint = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("docs").alias("with_both"))
-    joint = cut_lineage(joint.where(F.col("texts") >= least_texts))
-    candidates = cut_lineage(joint.select("term").distinct())
-    # Every term is counted before it meets the candidates: the counts are folded in the scan's tasks.
-    counted = _terms(rows).groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(candidates, "term")
-    degree = F.log(F.lit(float(max(total, 1))) * F.col("with_both") / (F.col("with_entity") * F.col("with_term"))) / F.log(F.lit(float(max(total, 1))) / F.col("with_entity"))
-    scored = joint.join(counted, "term").join(entities, "entity").where(F.col("with_entity") < total)
-    scored = scored.groupBy("term").agg(F.max(degree).alias("degree")).where(F.col("degree") >= generalise)
+    placed = mentions.select("text_key", "docs", F.explode("entities").alias("entity"))
+    entities = placed.groupBy("entity").agg(F.count(F.lit(1)).alias("seen"), F.sum("docs").alias("with_entity"))
+    most = F.pow(F.lit(total), F.lit(1 - generalise)) * F.pow("with_entity", F.lit(generalise)) * (1 + 1e-9)
+    entities = entities.where((F.col("seen") >= least_texts) & (F.col("with_entity") < total)).withColumn("most", most)
+    placed = cut_lineage(placed.join(entities, "entity").select("text_key", "docs", "entity", "with_entity", "most"))
+    widest = placed.groupBy("text_key").agg(F.max("most").alias("widest"))
+    # Every term is counted before it meets the entities: the counts are folded in the scan's tasks.
+    counted = _terms(rows).groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).where(F.col("with_term") >= least_texts)
+    beside = mentions.join(widest, "text_key").select("text_key", "widest", "outer", F.explode("words").alias("term"))
+    beside = beside.select("text_key", "widest", "term", F.array_contains("outer", F.col("term")).alias("outer"))
+    beside = beside.join(counted, "term").where(F.col("with_term") <= F.col("widest")).drop("widest")
+    joint = placed.join(beside, "text_key").where(F.col("with_term") <= F.col("most"))
+    joint = joint.groupBy("entity", "with_entity", "term", "with_term").agg(F.sum(F.col("outer").cast("long")).alias("texts"), F.sum("docs").alias("with_both"))
+    degree = F.log(F.lit(total) * F.col("with_both") / (F.col("with_entity") * F.col("with_term"))) / F.log(F.lit(total) / F.col("with_entity"))
+    scored = joint.where(F.col("texts") >= least_texts).groupBy("term").agg(F.max(degree).alias("degree")).where(F.col("degree") >= generalise)
     return cut_lineage(scored.select("term", F.when(F.col("degree") >= remove, TERM_KINDS[1]).otherwise(TERM_KINDS[0]).alias("kind"), "degree"))
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from quillfen.llm import multiindex, pages, rans
+from quillfen.llm import multiindex, pages, privacy, rans
 
 
 def shingles(text):
@@ -85,3 +85,13 @@ def test_unclosed_elements_do_not_end_the_page():
     assert read("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["where x=2 holds"]
     assert read("<head><title>T</title><body><p>one</p>") == ["one"] and read("<head><title>T</title><p>one</p>") == ["one"]
     assert read("<p>one</p><script>x<p>two</p>") == ["one"]
+
+
+def test_terms_far_from_the_mention_disclose_it(spark):
+    far = "and so the plan was read again and again by all of them"
+    rows = [(k, f"number {k} z@beeble.org {far} Zaphod") for k in range(6)] + [(k, f"number {k} about {far}") for k in range(6, 60)]
+    # Near in some texts, far in others: all of them count.
+    rows += [(60 + k, f"{k} y@beeble.org " + ("Trillian" if k % 2 else f"{far} Trillian")) for k in range(6)]
+    found = {r["doc_id"]: r["spans"] for r in privacy.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] == "email:9:21,term_removed:78:84" and found[7] == ""
+    assert found[60] == "email:2:14,term_removed:71:79" and found[61] == "email:2:14,term_removed:15:23"
