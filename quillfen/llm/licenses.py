@@ -74,6 +74,30 @@ WORDINGS = {
 }
 
 
+#: Parts that the wordings of a family share.
+_GNU = "This {thing} is free software{sign} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version."
+_GNU_REST = "This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details."
+_GNU_COPY = "You should have received a copy of the GNU {kind}General Public License along with this {thing}. If not, see https://www.gnu.org/licenses/."
+_GNU_POST = "You should have received a copy of the GNU {kind}General Public License along with this {thing}; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+_BSD_TWO = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAME = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_ISC_END = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_GNU_FORMS = {
+    "AGPL-3.0": ("program", ":", "Affero ", ",", "3", [_GNU_COPY]),
+    "GPL-2.0": ("program", ";", "", ";", "2", [_GNU_COPY, _GNU_POST]),
+    "GPL-3.0": ("program", ":", "", ",", "3", [_GNU_COPY]),
+    "LGPL-2.1": ("library", ";", "Lesser ", ";", "2.1", [_GNU_COPY, _GNU_POST]),
+    "LGPL-3.0": ("library", ":", "Lesser ", ",", "3", [_GNU_COPY]),
+}
+for _name, (_thing, _sign, _kind, _comma, _version, _ends) in _GNU_FORMS.items():
+    _fill = {"thing": _thing, "sign": _sign, "kind": _kind, "comma": _comma, "version": _version}
+    WORDINGS[_name] = [form.format(**_fill) for form in [_GNU, *(f"{_GNU} {_GNU_REST} {end}" for end in _ends)]]
+WORDINGS["BSD-2-Clause"] = [_BSD_TWO, f"{_BSD_TWO} {_BSD_END}"]
+WORDINGS["BSD-3-Clause"] += [_BSD_NAME, f"{_BSD_TWO} {_BSD_NAME} {_BSD_END}"]
+WORDINGS["ISC"] += [f"{WORDINGS['ISC'][0]} {_ISC_END}"]
+
+
 def bigrams_of(text: str) -> list[str]:
     words = re.findall("[a-z0-9]+", text.lower())
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
@@ -110,7 +134,7 @@ def _best(passage: Column, group: list[tuple[str, list[str]]], threshold: float)
     size = F.size(passage)
 
     def dice(want: list[str]) -> Column:
-        fits = (size >= len(want) * threshold / (2 - threshold)) & (size <= len(want) * (2 - threshold) / threshold)
+        fits = (size >= len(want) * threshold / (2 - threshold) - 1e-9) & (size <= len(want) * (2 - threshold) / threshold + 1e-9)
         return F.when(fits, F.lit(2.0) * F.size(F.array_intersect(passage, _literals(want))) / (size + len(want))).otherwise(0.0)
 
     return F.array_min(F.array(*[F.struct((-dice(want)).alias("d"), F.lit(name).alias("name")) for name, want in group]))
@@ -119,7 +143,7 @@ def _best(passage: Column, group: list[tuple[str, list[str]]], threshold: float)
 def _scored(passages: Column, group: list[tuple[str, list[str]]], threshold: float) -> Column:
     """The best template of every passage that the sizes and the bigrams of the whole group allow."""
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    fewest, largest = min(len(b) for _, b in group) * low, max(len(b) for _, b in group) * high
+    fewest, largest = min(len(b) for _, b in group) * low - 1e-9, max(len(b) for _, b in group) * high + 1e-9
     union = _literals(sorted({b for _, want in group for b in want}))
 
     def near(p: Column) -> Column:
@@ -137,7 +161,7 @@ def licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     """
     wanted = [(name, bigrams_of(wording)) for name, wording in templates()]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    least, most = min(len(b) for _, b in wanted) * low, max(len(b) for _, b in wanted) * high
+    least, most = min(len(b) for _, b in wanted) * low - 1e-9, max(len(b) for _, b in wanted) * high + 1e-9
     own = text_or_empty(text)
     telling = "(?<![a-z0-9])(?:" + "|".join(telling_words([b for _, b in wanted], threshold)) + ")"
     passages = F.array_distinct(F.concat(F.split(own, "\n"), F.split(own, r"\n\s*\n"), F.array(own)))

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from quillfen.llm import multiindex, pages, privacy, rans
+from quillfen.llm import licenses, multiindex, pages, privacy, rans
 
 
 def shingles(text):
@@ -95,3 +95,19 @@ def test_terms_far_from_the_mention_disclose_it(spark):
     found = {r["doc_id"]: r["spans"] for r in privacy.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[1] == "email:9:21,term_removed:78:84" and found[7] == ""
     assert found[60] == "email:2:14,term_removed:71:79" and found[61] == "email:2:14,term_removed:15:23"
+
+
+def test_file_headers_and_short_licences_get_their_own_name(spark):
+    def gnu(thing, kind, sign, comma, version):
+        first = f"    This {thing} is free software{sign} you can redistribute it and/or modify\n    it under the terms of the GNU {kind}General Public License as published by\n    the Free Software Foundation{comma} either version {version} of the License, or\n    (at your option) any later version."
+        return first + f"\n\n    This {thing} is distributed in the hope that it will be useful,\n    but WITHOUT ANY WARRANTY; without even the implied warranty of\n    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n    GNU {kind}General Public License for more details."
+
+    bsd = licenses._BSD_TWO.replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ")
+    texts = {
+        "AGPL-3.0": gnu("program", "Affero ", ":", ",", "3"), "GPL-2.0": gnu("program", "", ";", ";", "2"), "GPL-3.0": gnu("program", "", ":", ",", "3"),
+        "LGPL-2.1": gnu("library", "Lesser ", ";", ";", "2.1"), "LGPL-3.0": gnu("library", "Lesser ", ":", ",", "3"),
+        "BSD-2-Clause": f"Copyright (c) 2020, Someone\n\n{bsd}\n\n{licenses._BSD_END}",
+        "BSD-3-Clause": f"Copyright (c) 2020, Someone\n\n{bsd}\n\n{licenses._BSD_NAME}\n\n{licenses._BSD_END}",
+    }
+    found = {r["doc_id"]: r["license"] for r in licenses.licenses(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    assert found == {name: name for name in texts}
