@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfen.llm import bpe, decontamination, licenses, multiindex, pages, privacy, rans, sharding, simhash, toxicity
+from quillfen.llm import (
+    bpe,
+    decontamination,
+    hardnegatives,
+    licenses,
+    multiindex,
+    packing,
+    pages,
+    periodic,
+    privacy,
+    rans,
+    sharding,
+    simhash,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.query,
@@ -19,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontamination.query,
     "op9_rans": rans.query,
     "op10_main_text": pages.query,
+    "op11_packing": packing.query,
+    "op12_hard_negatives": hardnegatives.query,
+    "op13_periodic_runs": periodic.query,
 }
 
 ORACLES: dict[str, str] = {"op1_sharding": sharding.SQL}
