@@ -3,7 +3,8 @@
 Similarity is the indel ratio 2*LCS/(a+b), rounded to whole percent.  Two texts
 that reach the threshold lose only so many 3-grams that their rarest grams must
 meet (prefix filter), so candidates come from a join on rare grams and no pair is
-missed.  Clusters are those of scanning the values in first-seen order: a value
+missed.  Values that sound alike (equal Metaphone codes) can count as equal too; they
+meet through the first of their class.  Clusters are those of scanning the values in first-seen order: a value
 joins the earliest seed it resembles, else it becomes a seed.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillfen.functions.phonetic import metaphone
 from quillfen.functions.text import comparable, title_case
 from quillfen.operators.keyed import keyed_join
 from quillfen.operators.ordered import Ordered
@@ -97,29 +100,70 @@ def similar_pairs(texts: DataFrame, threshold: float = 0.85) -> DataFrame:
     ).select("a", "b").distinct()
     first = base.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
     second = base.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
-    checked = candidates.join(first, "a").join(second, "b").withColumn("percent", similarity("a_text", "b_text"))
+    # The indel distance is never below the edit distance, which is tested in the JVM before any text goes to Python.
+    most = F.floor(F.lit(1 - cut) * (F.length("a_text") + F.length("b_text")) + F.lit(1e-9))
+    near = candidates.join(first, "a").join(second, "b").filter(F.levenshtein("a_text", "b_text") <= most)
+    checked = near.withColumn("percent", similarity("a_text", "b_text"))
     return checked.filter(F.col("percent") >= round(threshold * 100)).select("a", "b", "percent")
 
 
-def first_seen_clusters(edges: DataFrame) -> DataFrame:
-    """(id, seed) of every clustered id: seeds have no earlier seed next to them."""
+def _united(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _pivots(nodes: DataFrame) -> DataFrame:
+    """(a, b) from the first node of every class to each other node of it: one edge a node, whatever the class."""
+    classed = nodes.filter(F.col("class").isNotNull())
+    first = classed.groupBy("class").agg(F.min("id").alias("a"))
+    return classed.join(first, "class").filter(F.col("a") < F.col("id")).select("a", F.col("id").alias("b"))
+
+
+def first_seen_clusters(edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(id, seed) of every clustered id: seeds have no earlier seed next to them.
+
+    Ids are next to each other by an edge (a, b), a < b, or by an equal class of `classes` (id, class). Among the
+    open ids of a class only the first can be a seed, so it stands for the class and pairs are never listed. Each
+    round writes what it settled and what is left open, not what earlier rounds settled.
+    """
     edges = cut_lineage(edges.select("a", "b"))
-    open_edges, absorbed = edges, None
-    while open_edges.limit(1).count():
-        waiting = open_edges.select(F.col("b").alias("a")).distinct()
-        seeds = open_edges.select("a").distinct().join(waiting, "a", "left_anti")
-        taken = open_edges.join(seeds, "a", "left_semi").select("b").distinct()
-        absorbed = taken if absorbed is None else absorbed.union(taken)
-        gone = taken.union(seeds.withColumnRenamed("a", "b"))
-        open_edges = cut_lineage(
-            open_edges.join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
-        )
-        absorbed = cut_lineage(absorbed)
-    if absorbed is None:
+    kind = edges.schema["a"].dataType.simpleString()
+    classed = edges.sparkSession.createDataFrame([], f"id {kind}, class string") if classes is None else classes
+    classed = cut_lineage(classed.select("id", "class")) if classes is not None else classed
+    open_edges, open_nodes = edges, classed
+    seeded, absorbed = [], []
+    while True:
+        near = open_edges.unionByName(_pivots(open_nodes)) if classes is not None else open_edges
+        near = cut_lineage(near) if classes is not None else near
+        if not near.limit(1).count():
+            break
+        waiting = near.select(F.col("b").alias("a")).distinct()
+        seeds = cut_lineage(near.select("a").distinct().join(waiting, "a", "left_anti").select(F.col("a").alias("id")))
+        taken = cut_lineage(near.join(seeds.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        seeded.append(seeds)
+        absorbed.append(taken)
+        gone = taken.unionByName(seeds)
+        for end in ("a", "b"):
+            open_edges = open_edges.join(gone.withColumnRenamed("id", end), end, "left_anti")
+        open_edges = cut_lineage(open_edges.select("a", "b"))
+        open_nodes = open_nodes.join(gone, "id", "left_anti")
+        if classes is not None:
+            open_nodes = cut_lineage(open_nodes)
+    if not seeded:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("seed")).limit(0)
-    final = edges.join(absorbed.withColumnRenamed("b", "a"), "a", "left_anti")
-    members = final.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("seed"))
-    return members.unionByName(members.select(F.col("seed").alias("id"), "seed").distinct())
+    seeds, members = _united(seeded), _united(absorbed)
+    offers = edges.join(seeds.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"), F.col("a").alias("seed"))
+    if classes is not None:  # a class has one seed at most: a second would be next to the first
+        of_class = classed.join(seeds, "id", "left_semi").select("class", F.col("id").alias("seed"))
+        own = classed.join(of_class, "class").filter(F.col("class").isNotNull() & (F.col("seed") < F.col("id")))
+        offers = offers.unionByName(own.select("id", "seed"))
+    joined = offers.join(members, "id", "left_semi").groupBy("id").agg(F.min("seed").alias("seed"))
+    return joined.unionByName(joined.select(F.col("seed").alias("id"), "seed").distinct())
+
+
+def sound_classes(texts: DataFrame) -> DataFrame:
+    """(id, class) of the `texts` (id, text) of more than two characters that have a code."""
+    coded = texts.filter(F.length("text") > 2).select("id", metaphone(F.col("text")).alias("class"))
+    return coded.filter("class != ''")
 
 
 class FuzzyDuplicates(NamedTuple):
@@ -132,11 +176,12 @@ def _order(df: DataFrame, order_by: Sequence[str]) -> Column:
 
 
 def fuzzy_duplicates(
-    df: DataFrame, columns: Sequence[str], threshold: float = 0.85, order_by: Sequence[str] = ()
+    df: DataFrame, columns: Sequence[str], threshold: float = 0.85, order_by: Sequence[str] = (), phonetic: bool = False
 ) -> FuzzyDuplicates:
     """Clusters of near-equal values per column, with a canonical value each.
 
-    `order_by` defines which value was seen first; without it values count in text order.
+    `order_by` defines which value was seen first; without it values count in text order. `phonetic` also takes values
+    of more than two characters as equal that sound alike, by the Metaphone code of their whole folded text.
     """
     report, data = None, df
     for c in columns:
@@ -144,7 +189,7 @@ def fuzzy_duplicates(
         placed = Ordered(values, ["seen", "value"]).row_index("id").result().select("id", "value")
         placed = cut_lineage(placed.withColumn("text", comparable(F.col("value"))))
         texts = placed.groupBy("text").agg(F.min("id").alias("id"))
-        clusters = first_seen_clusters(similar_pairs(texts, threshold))
+        clusters = first_seen_clusters(similar_pairs(texts, threshold), sound_classes(texts) if phonetic else None)
         # Values with one folded form share the fate of the first of them.
         heads = keyed_join(texts.withColumnRenamed("id", "head"), clusters.withColumnRenamed("id", "head"), ["head"])
         heads = heads.select("text", F.coalesce("seed", "head").alias("seed"))

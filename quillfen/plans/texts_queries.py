@@ -191,6 +191,35 @@ def _(t: Tables):
     return fuzzy.summary(fuzzy.fuzzy_duplicates(misspelt(t), ["label"], order_by=["p_partkey"]).report)
 
 
+# Spellings of one sound each; the first was seen first.
+FAMILIES = (
+    ("catherine", "kathryn", "katharine"),
+    ("physics", "fysiks", "fizicks"),
+    ("night", "knight", "nite"),
+    ("jackson", "jaxon"),
+    ("schema", "skeema"),
+)
+
+
+@query(
+    "cln35_phonetic",
+    """WITH f(name, head, turn) AS (VALUES """
+    + ", ".join(f"('{name}', '{family[0]}', {k})" for k, family in enumerate(FAMILIES) for name in family)
+    + f"""), v AS (SELECT DISTINCT name || ' ' || p_type AS value, head || ' ' || p_type AS head
+            FROM part JOIN f ON p_partkey % {len(FAMILIES)} = turn)
+        SELECT value, COUNT(*) OVER (PARTITION BY head) AS members FROM v""",
+)
+def _(t: Tables):
+    # Every part type in all spellings of one family; the spellings share a code, the families do not.
+    names = F.array(*[F.array(*map(F.lit, family)) for family in FAMILIES])
+    spelt = F.explode(F.element_at(names, (F.col("p_partkey") % len(FAMILIES) + 1).cast("int")))
+    rows = t.part.select("p_partkey", "p_type", spelt.alias("name"))
+    rows = rows.select("p_partkey", F.concat_ws(" ", "name", "p_type").alias("value"))
+    found = fuzzy.fuzzy_duplicates(rows, ["value"], order_by=["p_partkey"], phonetic=True).report
+    sizes = found.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"))
+    return found.join(sizes, "cluster_id").select(F.col("original_value").alias("value"), "members")
+
+
 @query("cln37_schema_match")
 def _(t: Tables):
     return fuzzy.match_schemas(t.customer, t.supplier).mapping
