@@ -207,6 +207,20 @@ def test_gauge_bounds(spark):
     assert (row["low"], row["high"]) == (-1.0, 1.0)
 
 
+def test_gauge_scale_and_targets(spark):
+    df = spark.createDataFrame([(4.0,), (6.0,)], "v double")
+    assert tuple(charts.gauge(df, "v", target=15.0).first()) == (10.0, 0.0, 20.0, 15.0, 15.0, False)
+    assert tuple(charts.gauge(df, "v", target=10.0, strict=True).first())[-1] is False
+    assert tuple(charts.gauge(df, "v", target=10.0, polarity="lower").first())[-1] is True
+    assert charts.gauge(df, "v", target=0.5).first().threshold == 6.0
+    assert charts.gauge(df, "v", target=19.5).first().threshold == 14.0
+    assert tuple(charts.gauge(df, "v", low=5.0, high=5.0).first())[1:3] == (4.5, 5.5)
+    assert tuple(charts.gauge(df, "v", low=0.0, high=0.0).first())[1:3] == (-1.0, 1.0)
+    assert tuple(charts.gauge(df.limit(0), "v").first())[:3] == (0.0, 0.0, 1.0)
+    with pytest.raises(Exception, match="off the scale"):
+        charts.gauge(df, "v", target=21.0).collect()
+
+
 def test_time_buckets_match_pandas(spark):
     stamps = [dt.datetime(2023, 12, 30), dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 20), dt.datetime(2024, 4, 2)]
     df = spark.createDataFrame(list(zip(stamps, [1.0, 2.0, 3.0, 4.0])), "d timestamp, v double")
