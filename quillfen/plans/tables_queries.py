@@ -40,6 +40,18 @@ def _(t: Tables):
     return back.select(F.col("_c0").alias("o_orderkey"), rnd("_c1", 2).alias("o_totalprice"))
 
 
+@query("src1_csv_multiline", "SELECT doc_id, lang, source, MD5(text) AS text_md5, LENGTH(text) AS chars FROM documents")
+def _(t: Tables):
+    # Texts hold line breaks; they are read back as cells, by as many tasks as the files have blocks.
+    path = writers.scratch_folder(t.spark, "csv")
+    rows = t.documents.select("doc_id", "lang", "source", "text")
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+    rows.write.options(header=True, escape='"', quoteAll=True, **kept).csv(path)
+    back = readers.read_delimited(t.spark, path, keep_default_na=False, parse_dates=False)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return back.select("doc_id", "lang", "source", F.md5(text.cast("binary")).alias("text_md5"), F.length(text).cast("long").alias("chars"))
+
+
 @query("src2_json_scan", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def _(t: Tables):
     path = writers.scratch_folder(t.spark, "json")

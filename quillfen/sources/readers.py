@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import os
 import re
 from collections.abc import Iterable, Iterator, Sequence
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillfen.operators.ingest import parse_number
+from quillfen.sources.records import has_open_lines, head_names, records, text_lines
 
 # Tokens that mean "missing" by default.
 DEFAULT_NA = (
@@ -23,49 +23,37 @@ DEFAULT_NA = (
 SEPARATORS = (",", ";", "\t", "|")
 
 
-def _raw(spark: SparkSession, path, sep: str, encoding: str, skip_rows: int, header: bool, multi_line: bool) -> DataFrame:
-    if multi_line and skip_rows:
-        raise ValueError("skip_rows needs one line per row")
-    if not skip_rows:
+# Encodings in which a line feed is not a byte of its own.
+WIDE_ENCODINGS = ("UTF16", "UTF32", "UCS2", "UCS4")
+
+
+def _raw(spark: SparkSession, path, sep: str, encoding: str, skip_rows: int, header: bool, multi_line: bool | None) -> DataFrame:
+    """Text columns. Files without open quotes go to Spark's reader, others are cut into records by many tasks."""
+    whole_files = len(sep) != 1 or re.sub(r"\W|_", "", encoding.upper()).startswith(WIDE_ENCODINGS)
+    if whole_files and skip_rows:
+        raise ValueError("skip_rows needs a separator of one character and an encoding of single-byte line feeds")
+    if multi_line is None and not whole_files and not skip_rows:
+        multi_line = has_open_lines(text_lines(spark, path, encoding), sep)
+    if whole_files or not (multi_line or skip_rows):
         return spark.read.csv(
             path, sep=sep, encoding=encoding, header=header, inferSchema=False, mode="PERMISSIVE",
-            escape='"', enforceSchema=False, multiLine=multi_line,
+            escape='"', enforceSchema=False, multiLine=whole_files and multi_line is not False,
         )
-    # The text source keeps the bytes as they are; bad UTF-8 is replaced.
-    utf8 = encoding.upper().replace("_", "-") in ("UTF-8", "UTF8")
-    value = F.make_valid_utf8(F.col("value")) if utf8 else F.decode(F.col("value").cast("binary"), encoding)
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        value.alias("value"),
-    )
-
-    def drop_head(batches: Iterator[pd.DataFrame], count: int = skip_rows + int(header)) -> Iterator[pd.DataFrame]:
-        # Lines of one file block arrive in order; only a file's first block has lines to drop.
-        file, seen = None, 0
-        for pdf in batches:
-            keep = []
-            for name, start in zip(pdf["file"], pdf["start"]):
-                if name != file:
-                    file, seen = name, 0
-                seen += 1
-                keep.append(start > 0 or seen > count)
-            kept = pdf[keep]
-            if len(kept):
-                yield kept
-
-    # Every file starts with the same head lines; they are dropped by position.
-    rows = lines.mapInPandas(lambda batches: drop_head(batches), lines.schema)
-    first = lines.filter("start = 0").mapInPandas(lambda batches: drop_head(batches, skip_rows), lines.schema).select("value").first()
-    names = next(csv.reader([first["value"]], delimiter=sep), []) if first else []
-    if not header:
+    rows = records(spark, path, sep, encoding, skip_rows)
+    heads = rows.filter("head").select("value").distinct().limit(2) if header else rows.filter("head").select("value").limit(1)
+    names = head_names([row["value"] for row in heads.collect()], sep)
+    if not names:  # no record at all
+        return spark.createDataFrame([], T.StructType([]))
+    if header:
+        rows = rows.filter("not head")
+    else:
         names = [f"_c{i}" for i in range(len(names))]
-    parsed = F.from_csv("value", _ddl(names), {"sep": sep, "escape": '"'})
+    parsed = F.from_csv("value", _ddl(names), {"sep": sep, "escape": '"', "multiLine": "true"})
     return rows.select(parsed.alias("r")).select("r.*")
 
 
 def _ddl(names: Iterable[str]) -> str:
-    return ", ".join(f"`{n}` string" for n in names)
+    return ", ".join(f"`{n.replace(chr(96), chr(96) * 2)}` string" for n in names)
 
 
 def _parsed(column: Column, target: str) -> Column:
@@ -104,11 +92,12 @@ def read_delimited(
     spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "UTF-8",
     na_values: Sequence[str] = (), keep_default_na: bool = True, skip_rows: int = 0,
     decimal: str = ".", parse_dates: bool = True, header: bool = True,
-    schema: T.StructType | None = None, multi_line: bool = False,
+    schema: T.StructType | None = None, multi_line: bool | None = None,
 ) -> DataFrame:
     """CSV, TSV or TXT with custom missing tokens, decimal mark and skipped head lines.
 
-    `multi_line` reads quoted line breaks; such a file is one task, so it is off by default.
+    Quoted line breaks are part of their cell; many tasks read such a file. `multi_line` says whether there are any;
+    by default one scan finds out, and False takes every line as a row.
     """
     raw = _raw(spark, path, sep, encoding, skip_rows, header, multi_line)
     missing = list(na_values) + (list(DEFAULT_NA) if keep_default_na else [])
