@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillfen.operators.dates import parse_any
-from quillfen.operators.ingest import date_columns, numeric_columns, parse_boolean, parse_number, text_columns, type_group
+from quillfen.operators.frequencies import FEW_VALUES, count_values, value_frequencies
+from quillfen.operators.ingest import NUMBER_SHAPE, date_columns, numeric_columns, parse_boolean, parse_number, text_columns, type_group
 from quillfen.operators.keyed import keyed_join
 from quillfen.operators.ordered import INDEX, Ordered
-from quillfen.operators.profile import adjusted_skewness, plain_columns, value_frequencies
+from quillfen.operators.profile import adjusted_skewness, plain_columns
 from quillfen.operators.quantiles import quantiles
 from quillfen.session import scalars
 
@@ -249,25 +251,40 @@ def percentage_to_number(column: Column) -> Column:
     return to_number(F.replace(column.cast("string"), F.lit("%"), F.lit(""))) / 100
 
 
-def _type_rates(c: str, group: str) -> dict[str, Column]:
-    column = F.col(f"`{c}`")
+def _type_facts(column: Column, group: str) -> Column:
+    """What each type makes of a value, as one struct, so that nothing is read twice."""
     text = column.cast("string")
     number = column.cast("double") if group == "numeric" else to_number(column)
+    marks = sum(((text.startswith(m[2:]) if m.startswith("^") else text.contains(m)).cast("int") for m in CURRENCY_MARKS), F.lit(0))
+    facts = [
+        column.isNotNull().alias("known"), number.alias("number"), to_boolean(column).isNotNull().alias("boolean"),
+        marks.alias("marks"), text.contains("%").alias("percent"),
+    ]
+    if group == "text":  # a number is no date
+        trial = F.when(~column.rlike(NUMBER_SHAPE) & column.rlike(r"\d"), parse_any(column))
+        facts.append((trial.isNotNull() & column.isNotNull()).alias("datetime"))
+    else:
+        facts.append((F.lit(group == "datetime") & column.isNotNull()).alias("datetime"))
+    return F.struct(*facts)
+
+
+def _type_rates(facts: Column, weight: Column) -> dict[str, Column]:
+    """Weighted counts of the values that read as each type; a value that stands for many cells is tried once."""
+
+    def cells(holds: Column) -> Column:
+        return F.coalesce(F.sum(F.when(holds, weight)), F.lit(0))
+
+    number = facts["number"]
     whole = F.bool_and(F.when(number.isNotNull(), number == F.floor(number)))
-    marks = sum((F.count_if(text.rlike(m)) for m in CURRENCY_MARKS), F.lit(0))
-    rates = {
-        "n": F.count(column),
-        "integer": F.when(whole, F.count(number)),
-        "float": F.count(number),
-        "boolean": F.count(to_boolean(column)),
-        "currency": marks,
-        "percentage": F.count_if(text.contains("%")),
+    return {
+        "n": cells(facts["known"]),
+        "integer": F.when(whole, cells(number.isNotNull())),
+        "float": cells(number.isNotNull()),
+        "boolean": cells(facts["boolean"]),
+        "currency": F.coalesce(F.sum(facts["marks"] * weight), F.lit(0)),
+        "percentage": cells(facts["percent"]),
+        "datetime": cells(facts["datetime"]),
     }
-    if group == "text":
-        rates["datetime"] = F.count(F.when(number.isNull(), parse_any(column)))
-    elif group == "datetime":
-        rates["datetime"] = F.count(column)
-    return rates
 
 
 class TypeDetection(NamedTuple):
@@ -275,19 +292,55 @@ class TypeDetection(NamedTuple):
     report: DataFrame
 
 
+def _reading(column: Column, found: str, group: str) -> Column | None:
+    """The column as the detected type; none where it stays as it is."""
+    readings = {
+        "datetime": lambda: parse_any(column) if group == "text" else column,
+        "integer": lambda: to_number(column).try_cast("bigint"),
+        "float": lambda: to_number(column),
+        "boolean": lambda: to_boolean(column),
+        "categorical": lambda: column,
+        "currency": lambda: currency_to_number(column),
+        "percentage": lambda: percentage_to_number(column),
+    }
+    return readings[found]() if found in readings else None
+
+
 def detect_types(df: DataFrame, columns: Sequence[str] | None = None) -> TypeDetection:
-    """Best type per column with a confidence of at least 0.7, and the converted table."""
+    """Best type per column with a confidence of at least 0.7, and the converted table.
+
+    Text columns of few values are tried value by value, each weighing as many cells as hold it; others cell by cell
+    in one scan.
+    """
     names = [c for c in plain_columns(df) if columns is None or c in columns]
-    wanted, order = [], ("datetime", "integer", "float", "boolean", "categorical", "currency", "percentage")
+    order = ("datetime", "integer", "float", "boolean", "categorical", "currency", "percentage")
     groups = {c: type_group(df.schema[c].dataType) for c in names}
-    for i, c in enumerate(names):
-        wanted.append(F.struct(*[e.alias(n) for n, e in _type_rates(c, groups[c]).items()]).alias(f"c{i}"))
-    measured = dict(zip(names, df.agg(*wanted).first()))
-    distinct = {r["column"]: r["d"] for r in value_frequencies(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
-    out, checks, chosen = {}, {}, {}
+    distinct = {c: counted.distinct for c, counted in count_values(df, names).items()}
+    few = [c for c in names if groups[c] == "text" and distinct[c] <= FEW_VALUES]
+    cells = [c for c in names if c not in few]
+    values = value_frequencies(df, few) if few else None
+
+    def measure(made: dict[str, Column], rates) -> dict[str, dict]:
+        """Make one column of each, over its values or over its cells, then aggregate what was made.
+
+        Each column is a small plan of its own that scans nothing else; they run side by side in one job.
+        """
+        parts = []
+        for c, column in made.items():
+            rows, weight = (values, F.col("count")) if c in few else (df, F.lit(1))
+            staged = rows.select(column.alias("made"), weight.alias("count"))
+            totals = F.struct(*[e.alias(n) for n, e in rates(F.col("made"), F.col("count")).items()])
+            parts.append(staged.agg(totals.alias("totals")).select(F.lit(c).alias("column"), "totals"))
+        return {r["column"]: r["totals"].asDict() for r in reduce(DataFrame.unionByName, parts).collect()} if parts else {}
+
+    def source(c: str) -> Column:
+        return F.when(F.col("column") == c, F.col("value")) if c in few else F.col(f"`{c}`")
+
+    measured = measure({c: _type_facts(source(c), groups[c]) for c in names}, _type_rates)
+    out, checks, chosen, known = {}, {}, {}, {}
     for c in names:
-        row, column = measured[c].asDict(), F.col(f"`{c}`")
-        n = row.pop("n")
+        row = measured[c]
+        n = known[c] = row.pop("n")
         rates = {k: (v or 0) / n for k, v in row.items()} if n else {}
         rates["boolean"] = rates.get("boolean", 0.0) if rates.get("boolean", 0.0) > 0.8 else 0.0
         rates["categorical"] = 1.0 if n and 0.01 <= distinct.get(c, 0) / n <= 0.3 else 0.0
@@ -297,18 +350,14 @@ def detect_types(df: DataFrame, columns: Sequence[str] | None = None) -> TypeDet
         confidence = rates.get(best, 0.0) if best else 1.0
         found = "null_only" if best is None else best if confidence >= 0.7 else "unknown"
         chosen[c] = (found, confidence)
-        convert = {
-            "datetime": parse_any(column) if groups[c] == "text" else column,
-            "integer": to_number(column).try_cast("bigint"), "float": to_number(column), "boolean": to_boolean(column),
-            "categorical": column, "currency": currency_to_number(column), "percentage": percentage_to_number(column),
-        }.get(found)
+        convert = _reading(F.col(f"`{c}`"), found, groups[c])
         if convert is not None:
             out[c] = convert
-            checks[c] = F.struct(F.count(convert).alias("ok"), F.count(column).alias("n"))
-    done = scalars(df, **checks) if checks else {}
+            checks[c] = _reading(source(c), found, groups[c]).isNotNull()
+    done = measure(checks, lambda read, weight: {"ok": F.coalesce(F.sum(F.when(read, weight)), F.lit(0))})
     rows = [
         (c, df.schema[c].dataType.simpleString(), found, round(confidence, 2), done[c]["ok"] if c in done else 0,
-         done[c]["n"] - done[c]["ok"] if c in done else 0)
+         known[c] - done[c]["ok"] if c in done else 0)
         for c, (found, confidence) in chosen.items()
     ]
     schema = "column string, original_type string, detected_type string, confidence double, converted_rows long, failed_rows long"

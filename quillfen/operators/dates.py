@@ -59,11 +59,14 @@ def parse_any(column: Column) -> Column:
     choices: dict[str, list[str]] = {}
     for fmt in FORMATS:
         choices.setdefault(_skeleton(fmt), []).append(fmt)
-    tries = []
-    for k in range(max(map(len, choices.values()))):
-        known = F.create_map(*[F.lit(x) for s, f in choices.items() if len(f) > k for x in (s, f[k])])
-        tries.append(F.try_to_timestamp(text, F.element_at(known, outline)).cast("timestamp_ntz"))
-    return F.coalesce(*tries, parse_generic(column))
+
+    # Every format is a constant, so its formatter is built once. The lambda binds text and outline, so that they are
+    # made once and not in every branch; it is SQL text because a tree of so many calls is slow to build.
+    tried = {s: ", ".join(f"try_to_timestamp(t.text, '{fmt}')" for fmt in formats) for s, formats in choices.items()}
+    branches = " ".join(f"WHEN '{s}' THEN coalesce({calls})" for s, calls in tried.items())
+    read = F.array(F.struct(text.alias("text"), outline.alias("outline")))
+    fitting = F.call_function("transform", read, F.expr(f"t -> CASE t.outline {branches} END"))
+    return F.coalesce(F.get(fitting, F.lit(0)).cast("timestamp_ntz"), parse_generic(column))
 
 
 def detect_date_columns(df: DataFrame, share: float = 0.3) -> list[str]:

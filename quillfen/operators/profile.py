@@ -6,10 +6,11 @@ import math
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillfen.operators.frequencies import count_values, estimates, row_key
 from quillfen.operators.ingest import date_columns, numeric_columns, text_columns, type_group
 from quillfen.operators.quantiles import quantiles
 from quillfen.session import scalars
@@ -46,6 +47,7 @@ class ColumnProfile:
     rows: int
     nulls: int
     distinct: int = 0
+    least: int = 0
     top: list[tuple[str, int]] = field(default_factory=list)
     stats: dict = field(default_factory=dict)
 
@@ -93,28 +95,21 @@ def _batched(df: DataFrame, expressions: dict[str, list[Column]]) -> dict[str, l
     return out
 
 
-def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows per (column, value), nulls left out; counted before the shuffle."""
-    text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
-    long = text.unpivot([], columns, "column", "value").filter(F.col("value").isNotNull())
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-
-
 def top_values(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
     """k most frequent values per column, ties to the smaller text."""
-    order = Window.partitionBy("column").orderBy(F.desc("count"), "value")
-    ranked = value_frequencies(df, columns).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k)
+    counted = count_values(df, columns, top=k)
+    rows = [(c, value, count, i + 1) for c in columns for i, (value, count) in enumerate(counted[c].top)]
+    return df.sparkSession.createDataFrame(rows, "column string, value string, count long, rank int")
 
 
 def profile(df: DataFrame, top: int = 10, spread: bool = True, approximate: bool = False) -> Profile:
-    """Profile every plain column in three passes: moments, value counts, quantiles."""
+    """Profile every plain column: one scan of moments and estimates, value counts, quantiles."""
     columns = plain_columns(df)
     schema = df.schema
     moments = {}
     for c in columns:
         column = F.col(f"`{c}`")
-        wanted = [F.count(F.lit(1)), F.count(column)]
+        wanted = [F.count(F.lit(1)), F.count(column), *estimates(c, schema[c].dataType)]
         if type_group(schema[c].dataType) == "numeric":
             number = column.cast("double")
             wanted += [
@@ -127,9 +122,10 @@ def profile(df: DataFrame, top: int = 10, spread: bool = True, approximate: bool
             wanted += [F.min(column).cast("string"), F.max(column).cast("string")]
         moments[c] = wanted
     measured = _batched(df, moments)
-    profiles = {}
+    profiles, estimated = {}, {}
     for c in columns:
-        rows, count, *rest = measured[c]
+        rows, count, about, size, *rest = measured[c]
+        estimated[c] = (about, size or 0.0)
         group = type_group(schema[c].dataType)
         p = ColumnProfile(c, group, schema[c].dataType.simpleString(), rows, rows - count)
         if group == "numeric":
@@ -143,7 +139,12 @@ def profile(df: DataFrame, top: int = 10, spread: bool = True, approximate: bool
         profiles[c] = p
     rows = measured[columns[0]][0] if columns else df.count()
     if columns:
-        _count_values(df, profiles, columns, top, approximate)
+        if approximate:
+            for c, (about, _) in estimated.items():
+                profiles[c].distinct = about
+        else:
+            for c, counted in count_values(df, columns, top, estimated).items():
+                profiles[c].distinct, profiles[c].least, profiles[c].top = counted.distinct, counted.least, counted.top
     numbers = [c for c in columns if profiles[c].group == "numeric"]
     if spread and numbers:
         for c, (q25, q50, q75) in quantiles(df, numbers, [0.25, 0.5, 0.75]).items():
@@ -156,30 +157,15 @@ def _two_decimals(number: Column) -> Column:
     return (F.abs(cents - F.rint(cents)) < 1e-6) & (F.abs(tenths - F.rint(tenths)) > 1e-6)
 
 
-def _count_values(df, profiles, columns, top, approximate) -> None:
-    if approximate:
-        found = _batched(df, {c: [F.approx_count_distinct(f"`{c}`")] for c in columns})
-        for c, (n,) in found.items():
-            profiles[c].distinct = n
-        return
-    counts = value_frequencies(df, columns)
-    distinct = counts.groupBy("column").agg(F.lit(None).cast("string").alias("value"), F.count(F.lit(1)).alias("count"))
-    order = Window.partitionBy("column").orderBy(F.desc("count"), "value")
-    best = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(top, 1))
-    both = distinct.withColumn("rank", F.lit(0)).unionByName(best)  # the shuffled counts are reused
-    for row in sorted(both.collect(), key=lambda r: r["rank"]):  # at most top + 1 rows per column
-        if row["rank"] == 0:
-            profiles[row["column"]].distinct = row["count"]
-        else:
-            profiles[row["column"]].top.append((row["value"], row["count"]))
-
-
 # ---- tables made from profiles ---------------------------------------------------
 
 
 def duplicate_rows(df: DataFrame) -> int:
     """Rows beyond the first copy of each distinct row."""
-    counts = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    if not df.columns:
+        return 0
+    keys = df.select(*row_key([F.col(f"`{c}`") for c in df.columns]))  # rows meet by a 128-bit hash
+    counts = keys.groupBy("_key_a", "_key_b").agg(F.count(F.lit(1)).alias("_copies"))
     return scalars(counts, extra=F.sum(F.col("_copies") - 1))["extra"] or 0
 
 
@@ -407,16 +393,11 @@ def negative_table(df: DataFrame, terms: tuple[str, ...] = POSITIVE_METRICS, thr
 def sampling_profile(df: DataFrame) -> tuple[Profile, dict]:
     """Facts that decide about sampling."""
     p = profile(df, top=1, spread=False)
-    texts = [c.name for c in p.of("text")]
-    smallest = {}
-    if texts:
-        low = value_frequencies(df, texts).groupBy("column").agg(F.min("count").alias("least"))
-        smallest = {r["column"]: r["least"] for r in low.collect()}
     skews = [abs(c.stats["skew"]) for c in p.of("numeric") if c.stats["skew"] is not None]
     imbalance = {}
     for c in p.of("text"):
         if c.top and c.non_null:
-            imbalance[c.name] = round(c.top[0][1] / smallest[c.name], 2)
+            imbalance[c.name] = round(c.top[0][1] / c.least, 2)
     return p, {
         "high_null": [c.name for c in p.columns.values() if c.null_share > 0.3],
         "skew": round(sum(skews) / len(skews), 2) if skews else 0.0,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillfen.operators.correlation import _pair_values, _safe, correlation
 from quillfen.operators.dates import parse_any
-from quillfen.operators.profile import Profile, duplicate_rows, outlier_table, profile, value_frequencies
+from quillfen.operators.profile import Profile, duplicate_rows, outlier_table, profile
 from quillfen.session import scalars
 
 # Name hints.
@@ -64,7 +64,8 @@ def health_score(df: DataFrame, p: Profile | None = None) -> DataFrame:
 
 def near_duplicates(df: DataFrame, column: str) -> int:
     """Rows that only repeat after folding case and outer spaces."""
-    exact = value_frequencies(df, [column])
+    values = df.select(F.col(f"`{column}`").alias("value")).filter(F.col("value").isNotNull())
+    exact = values.groupBy("value").agg(F.count(F.lit(1)).alias("count"))
     folded = exact.groupBy(F.trim(F.lower("value")).alias("value")).agg(F.sum("count").alias("count"))
     repeated = F.sum(F.when(F.col("count") > 1, F.col("count")).otherwise(0))
     return (scalars(folded, n=repeated)["n"] or 0) - (scalars(exact, n=repeated)["n"] or 0)
