@@ -39,6 +39,9 @@ LOW = np.uint64(1 << 31)
 LANES, STEPS, CHECKPOINT = 2048, 128, 64
 BLOCK_IDS = 1 << 18
 MEMO_PIECES, CHUNK_PIECES = 350_000, 200_000
+#: One match of the tokenizer's pattern in visible lower-case ASCII, where its normal form and byte mapping change nothing:
+#: such a piece goes to the merges directly.
+_PLAIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[!-/:-@\[-`{-~]+").fullmatch
 _HEAD = "<4sHHIQII"
 _HEAD_SIZE = struct.calcsize(_HEAD)
 
@@ -161,13 +164,14 @@ class WordIds:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.size = self.tokenizer.get_vocab_size()
         built = json.loads(self.tokenizer.to_str())
         splitter = built["pre_tokenizer"]["pretokenizers"][0]
         self.added = sorted((t["content"] for t in built["added_tokens"]), key=len, reverse=True)
         self.cut_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split
         self.pieces = common_pattern(splitter["pattern"]["Regex"]).findall
-        self.beyond = re.compile("[^\x00-\u024f]").search
+        self.beyond = re.compile("[^\x00-\u012f\u0131-\u024f]").search  # the small form of U+0130 has a mark
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -181,8 +185,15 @@ class WordIds:
                 new.append(part)
             else:
                 self.memo[part] = known
-        made = self.tokenizer.encode_batch(new, add_special_tokens=False) if new else []
-        self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, made, strict=True))
+        rest = []
+        for part in new:
+            if _PLAIN(part):
+                ids = [token.id for token in self.merge(part)]
+                self.memo[part] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(part)
+        made = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
+        self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, made, strict=True))
 
     def _parts(self, text: str) -> list[str]:
         if any(token in text for token in self.added):

@@ -111,3 +111,16 @@ def test_file_headers_and_short_licences_get_their_own_name(spark):
     }
     found = {r["doc_id"]: r["license"] for r in licenses.licenses(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
     assert found == {name: name for name in texts}
+
+
+def test_word_ids_of_random_pieces_equal_the_library():
+    draw = np.random.default_rng(11)
+    pools = ["abcdefghijklmnopqrstuvwxyz", "abcXYZ'0129", "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~\\", "aé\u0301ÅßİıǅΣς你好\U0001f600'", "a\x00\x1c\x85\xa0\u2028\t'12"]
+    texts = []
+    for k in range(10_000):
+        pool = pools[k % len(pools)]
+        texts.append("".join(pool[i] for i in draw.integers(0, len(pool), draw.integers(1, 14))))
+    texts += ["don't", "we'll've", "''s", "'S", "a'b", "<|endoftext|>", "x<|endoftext|>'s", "<|startoftext|", " ".join(texts[:300])]
+    tokenizer = rans.Tokenizer.from_file(rans.VOCABULARY)
+    want = [e.ids + [1] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in rans.WordIds(rans.VOCABULARY).of(texts, 1)] == want
