@@ -178,13 +178,14 @@ class WordIds:
     def _learn(self, parts: set[str]) -> None:
         if len(self.memo) > MEMO_PIECES:
             self.memo, self.older = {}, self.memo
-        new = []
-        for part in parts - self.memo.keys():
-            known = self.older.get(part)
-            if known is None:
-                new.append(part)
-            else:
-                self.memo[part] = known
+        new, memo, older = [], self.memo, self.older
+        for part in parts:  # a set minus the keys would walk the whole memo
+            if part not in memo:
+                known = older.get(part)
+                if known is None:
+                    new.append(part)
+                else:
+                    memo[part] = known
         rest = []
         for part in new:
             if _PLAIN(part):
