@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfen.operators.set_ops import preview_set_op, set_op
@@ -168,6 +169,31 @@ def _(t: Tables):
     )
 
 
+@query(
+    "jn11_preview_facts",
+    "SELECT true AS from_source, true AS same_again, true AS near_size, true AS marks_fit, COUNT(*) AS rows FROM lineitem",
+)
+def _(t: Tables):
+    # What any preview must hold: its rows are rows of the join's left table, a seed gives them again, about 5 000 are
+    # drawn, and a row is marked as met exactly where its order was drawn too.
+    def shown() -> DataFrame:
+        return jg.preview_join(t.lineitem, "l_orderkey", t.orders, "o_orderkey", "orders", "left")
+
+    def side(rows: DataFrame, own: int) -> DataFrame:
+        return rows.groupBy("l_orderkey", "l_linenumber").agg(*[(F.count(F.lit(1)) if k == own else F.lit(0)).alias(f"n{k}") for k in range(3)])
+
+    fits = (F.col("_merge_orders") == "both") == F.col("o_orderstatus").isNotNull()
+    marks = shown().agg(F.bool_and(fits).alias("marks_fit"))
+    sides = side(t.lineitem, 0).unionByName(side(shown(), 1)).unionByName(side(shown(), 2))
+    per = sides.groupBy("l_orderkey", "l_linenumber").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
+    rows, drawn = F.sum("n0"), F.sum("n1")
+    wanted = F.least(rows, F.lit(5000))
+    return per.agg(
+        F.bool_and(F.col("n1") <= F.col("n0")).alias("from_source"), F.bool_and(F.col("n1") == F.col("n2")).alias("same_again"),
+        (F.abs(drawn - wanted) <= 6 * F.sqrt(wanted)).alias("near_size"), rows.alias("rows"),
+    ).withColumn("marks_fit", marks.scalar())
+
+
 @query(
     "snk4_save_join_result",
     "SELECT n_name, COUNT(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name",

@@ -238,6 +238,22 @@ def _(t: Tables):
     return sampling.random_fraction(t.lineitem, 0.1).select("l_orderkey", "l_linenumber")
 
 
+@query("smp1_fraction_facts", "SELECT true AS from_source, true AS same_again, true AS other_seed_differs, true AS near_tenth, COUNT(*) AS rows FROM lineitem")
+def _(t: Tables):
+    # What any tenth must hold: it is part of the table, a seed gives it again, and its size lies within six deviations.
+    first, again, other = (sampling.random_fraction(t.lineitem, 0.1, seed).groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")) for seed in (42, 42, 43))
+    total = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+    sides = [x.select("l_orderkey", "l_linenumber", F.struct(*[(F.col("n") if k == j else F.lit(0)).alias(f"n{k}") for k in range(4)]).alias("s")) for j, x in enumerate((total, first, again, other))]
+    both = sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(sides[3])
+    per = both.groupBy("l_orderkey", "l_linenumber").agg(*[F.sum(f"s.n{k}").alias(f"n{k}") for k in range(4)])
+    rows, drawn = F.sum("n0"), F.sum("n1")
+    return per.agg(
+        F.bool_and(F.col("n1") <= F.col("n0")).alias("from_source"), F.bool_and(F.col("n1") == F.col("n2")).alias("same_again"),
+        F.bool_or(F.col("n1") != F.col("n3")).alias("other_seed_differs"),
+        (F.abs(drawn - rows * 0.1) <= 6 * F.sqrt(rows * 0.09)).alias("near_tenth"), rows.alias("rows"),
+    )
+
+
 @query(
     "smp2_stratified_fraction",
     "SELECT o_orderpriority, CAST(CEIL(COUNT(*) * 0.3::DOUBLE) AS BIGINT) AS rows FROM orders GROUP BY 1",
