@@ -310,3 +310,21 @@ def _(t: Tables):
 @query("bi21_power")
 def _(t: Tables):
     return bi.ab_power(variants(t), "arm", "value", "A", "B")
+
+
+@query(
+    "bi21_power_facts",
+    f"""SELECT {sql_rnd('ABS(m2 - m1) / SQRT((v1 + v2) / 2)', 6)} AS effect_size, LEAST(n1, n2) AS sample_size_per_group, 0.05::DOUBLE AS alpha,
+        true AS near_normal FROM {_SIDES}""",
+)
+def _(t: Tables):
+    # In samples of this size the power lies close to that of the normal distribution, 1.959964 deviations on.
+    out = bi.ab_power(variants(t), "arm", "value", "A", "B")
+    sizes = variants(t).groupBy("arm").agg(F.count("value").alias("n")).agg(F.sqrt(F.product("n") / F.sum("n"))).scalar()
+    beyond = F.col("effect_size") * sizes - F.lit(1.959964)
+    # The polynomial of the normal distribution (Abramowitz and Stegun 26.2.17).
+    step = 1 / (1 + 0.2316419 * F.abs(beyond))
+    series = step * (0.319381530 + step * (-0.356563782 + step * (1.781477937 + step * (-1.821255978 + step * 1.330274429))))
+    tail = F.exp(-beyond * beyond / 2) / F.sqrt(2 * F.pi()) * series
+    normal = F.when(beyond >= 0, 1 - tail).otherwise(tail)
+    return out.select(rnd("effect_size", 6).alias("effect_size"), "sample_size_per_group", "alpha", (F.abs(F.col("power") - normal) < 0.01).alias("near_normal"))
