@@ -13,8 +13,8 @@ def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates stays: five-word shingles, exact Jaccard similarity of 0.8 or more."""
-    return simhash.keep_similar(docs)
+    """One document of every group linked by fingerprints of three-word shingles at 3 or fewer differing bits stays."""
+    return simhash.keep_one(docs, words=3, distance=3)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
