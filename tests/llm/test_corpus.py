@@ -1,24 +1,29 @@
 """The corpus pipeline against brute force over near copies of graded similarity."""
 
+import re
+
 import numpy as np
+import xxhash
 
 import corpus_pipeline
 from quillfen.llm import licenses, multiindex, pages, privacy, rans
 
 
-def shingles(text):
-    words = (text or "").lower().split()
-    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+def fingerprint(text):
+    """64 bits, each set in over half of the hashes of a text's three-word shingles."""
+    words = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
 
 
 def survivors(texts):
-    """The first text of every component of Jaccard similarity 0.8 or more over distinct five-word shingles."""
-    sets = [shingles(t) for t in texts]
+    """The first text of every component of fingerprints with 3 or fewer differing bits."""
+    prints = [fingerprint(t) for t in texts]
     root = list(range(len(texts)))
     for b in range(len(texts)):
         for a in range(b):
-            same = sets[a] == sets[b] or (sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-            if same and root[a] != root[b]:
+            if (prints[a] ^ prints[b]).bit_count() <= 3 and root[a] != root[b]:
                 low, high = sorted((root[a], root[b]))
                 root = [low if r == high else r for r in root]
     return [k for k, r in enumerate(root) if k == r]
@@ -28,9 +33,10 @@ def test_run_keeps_one_of_every_group_of_near_copies(spark, tmp_path):
     draw = np.random.default_rng(4)
     texts = [None, "", "  ", "one", "One", "one two three four five", "one two three four six"]
     for base in range(12):
-        words = [f"w{k}" for k in draw.integers(0, 5000, 60 + 30 * base)]
+        words = [f"w{k}" for k in draw.integers(0, 5000, 60 + 90 * base)]
         texts.append(" ".join(words))
-        for share in (0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.05):  # similarity of about 0.95 down to 0.6
+        texts.append(" ".join(words).upper())
+        for share in (0.001, 0.002, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.05):
             own = list(words)
             for k in draw.choice(len(own), max(1, round(share * len(own))), replace=False):
                 own[k] = f"x{draw.integers(0, 10**6)}"
