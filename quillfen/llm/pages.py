@@ -7,7 +7,7 @@ kept parent, and the choice with the highest total log-likelihood, weighted by t
 ancestors and descendants never contradict each other.
 
 There are no labelled pages. The trees learn from a bounded sample of pages, each as it is (labels from its semantic
-tags and attribute names) and in variants whose paragraphs are laid out anew in other templates, with menus, notices,
+tags and attribute names, or else from its densest element) and in variants whose paragraphs are laid out anew in other templates, with menus, notices,
 forms, adverts and comments around and inside the article, where the label of every node is known.
 """
 
@@ -45,8 +45,14 @@ AWAY = (
     "respond pagination pager tags toolbar hidden skip"
 ).split()
 HERE = "article content post entry story main body text prose richtext".split()
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_SPACE = r"[ \t\n\r\f]"
+#: One attribute as browsers read it: a quote delimits only right after `=`; a name may hold quotes or begin with `=`.
+_ONE = rf"""(?:=[^ \t\n\r\f/>=]*+|[^ \t\n\r\f/>=]++)(?:{_SPACE}*+={_SPACE}*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\r\f>"'][^ \t\n\r\f>]*+|(?=>)|\Z))?+"""
+#: Comments (also the short `<!-->`), other markup without a name, and tags. What begins here always ends, with the page
+#: at the latest, so no character is read twice.
+_TAG = re.compile(rf"""<!---?>|<!--(?:[^-]++|-(?!-!?>))*+(?:--!?>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|{_ONE})*+)(>|\Z)""")
+_ATTRIBUTE = re.compile(rf"""(=?[^ \t\n\r\f/>=]*+)(?:{_SPACE}*+={_SPACE}*+("[^"]*+|'[^']*+|[^ \t\n\r\f>"'][^ \t\n\r\f>]*+)?["']?)?+""")
+_TELLING = frozenset("class id role itemprop aria-label".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BLOCK_SET, _RAW_SET, _SKIP_SET, _AWAY_SET, _HERE_SET = set(BLOCKS), set(RAW), set(SKIPPED), set(AWAY), set(HERE)
 _FIRST = {name: n + 1 for n, name in enumerate(BLOCKS)}
@@ -57,17 +63,17 @@ def attribute_tokens(attributes: str) -> list[str]:
         return []
     out = []
     for match in _ATTRIBUTE.finditer(attributes):
-        name, value = match[1].lower(), (match[2] or "").strip("\"'")
+        name, value = match[1].lower(), (match[2] or "").lstrip("\"'")
         if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)):
             out.append("hidden")
-        elif name != "style":
+        elif name in _TELLING:
             out += [p.lower() for p in _PARTS.findall(value)]
     return out
 
 
 def _raw_end(source: str, name: str, at: int) -> int:
     """Where the text of a raw element ends whose start tag ends at `at`: behind its end tag, or with the page."""
-    end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+    end = re.compile(rf"</{name}(?=[ \t\n\r\f/>])[^>]*+(?:>|\Z)", re.I).search(source, at)
     return end.end() if end else len(source)
 
 
@@ -114,8 +120,14 @@ class Page:
         self.links = [0]
         self.blocks: list[tuple[int, str]] = []
         stack, buffer, in_link, at = [0], [], 0, 0
+        open_ = dict.fromkeys(BLOCKS, 0)
         runs = skipped_runs(source)
 
+        def leave(place: int) -> None:
+            for node in stack[place:]:
+                open_[self.tags[node]] -= 1
+            del stack[place:]
+
         def flush() -> None:
             nonlocal in_link
             if buffer:
@@ -152,19 +164,18 @@ class Page:
             elif name in _BLOCK_SET and name != "html":
                 flush()
                 if match[1]:
-                    place = next((k for k in range(len(stack) - 1, 0, -1) if self.tags[stack[k]] == name), 0)
-                    if place:
-                        del stack[place:]
+                    if open_[name]:
+                        leave(next(k for k in range(len(stack) - 1, 0, -1) if self.tags[stack[k]] == name))
                     continue
                 if self.tags[stack[-1]] == "p":
-                    stack.pop()
-                if name in CLOSES:
+                    leave(len(stack) - 1)
+                if name in CLOSES and any(open_[end] for end in CLOSES[name][0].split()):
                     ends, limit = CLOSES[name]
                     for k in range(len(stack) - 1, 0, -1):
                         if self.tags[stack[k]] in limit:
                             break
                         if self.tags[stack[k]] in ends.split():
-                            del stack[k:]
+                            leave(k)
                             break
                 self.tags.append(name)
                 self.parents.append(stack[-1])
@@ -172,6 +183,7 @@ class Page:
                 self.links.append(0)
                 if name != "hr" and not match[3].endswith("/"):
                     stack.append(len(self.tags) - 1)
+                    open_[name] += 1
         flush()
 
     def features(self) -> np.ndarray:
@@ -305,14 +317,38 @@ class Boosting:
 
 
 def own_labels(page: Page) -> np.ndarray:
-    """Labels of a page as it is: inside an article or main element and in nothing named as boilerplate."""
-    keep = np.zeros(len(page.tags), bool)
-    lost = np.zeros(len(page.tags), bool)
-    for k in range(1, len(page.tags)):
+    """Labels of a page as it is: inside its holder of the article and in nothing named as boilerplate.
+
+    Holders are article and main elements. A page without text in any has one other: the element with the most text of
+    its own and its children, where a name of `HERE` on it or above it counts threefold.
+    """
+    n = len(page.tags)
+    lost, named, holder = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+    for k in range(1, n):
         p = page.parents[k]
         lost[k] = lost[p] or page.tags[k] in ("nav", "footer", "aside", "form", "menu", "dialog") or any(t in _AWAY_SET for t in page.tokens[k])
-        keep[k] = not lost[k] and (keep[p] or page.tags[k] in ("article", "main"))
-    for k in range(len(page.tags) - 1, 0, -1):
+        named[k] = named[p] or any(t in _HERE_SET for t in page.tokens[k])
+        holder[k] = page.tags[k] in ("article", "main")
+
+    def under(holder: np.ndarray) -> np.ndarray:
+        keep = holder & ~lost
+        for k in range(1, n):
+            keep[k] |= keep[page.parents[k]] and not lost[k]
+        return keep
+
+    keep = under(holder)
+    if not any(keep[node] for node, _ in page.blocks):
+        near = np.zeros(n)
+        for node, text in page.blocks:
+            if not lost[node]:
+                near[node] += len(text)
+                near[max(page.parents[node], 0)] += len(text) * (page.parents[node] >= 0)
+        near *= np.where(lost, 0, np.where(named, 3, 1))
+        if near.max() > 0:
+            holder = np.zeros(n, bool)
+            holder[near.argmax()] = True
+            keep = under(holder)
+    for k in range(n - 1, 0, -1):
         keep[page.parents[k]] |= keep[k]
     return keep
 
@@ -423,8 +459,9 @@ def main_texts(model: Boosting, sources: list[str | None]) -> list[str]:
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
     """One row per page: key, url, text (empty if there is none) and n_chars.
 
-    Null and empty html give an empty text; markup that is never closed is read as far as it goes. Pages that repeat
-    come back as often as they came in.
+    Null and empty html give an empty text. Markup is cut as browsers do it: a quote delimits only after `=`, comments and
+    tags that are never closed last to the end of the page, a `<` before anything else is text. Time grows with the length
+    of a page, whatever stands in it. Pages that repeat come back as often as they came in.
     """
     drawn = pages.where(F.col(html).isNotNull()).orderBy(F.xxhash64(key, html), key).select(html).limit(sample).collect()
     model = train([r[0] for r in drawn])
