@@ -8,8 +8,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillfen.session import scalars
+from quillfen.session import ROWS_PER_TASK, cut_lineage, limit_of, scalars
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,8 @@ class Link:
     alias: str | None = None
 
 
+#: Hot keys up to this number are sent to all tasks (a few MB); more of them are joined like any table.
+HOT_SENT = 100_000
 _JOIN_TYPES = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full"}
 
 
@@ -37,9 +40,13 @@ def _free_name(taken: set[str], base: str) -> str:
 
 def join_pair(
     left: DataFrame, right: DataFrame, left_on: str, right_on: str, right_name: str,
-    how: str = "inner", alias: str | None = None, indicator: bool = True,
+    how: str = "inner", alias: str | None = None, indicator: bool = True, rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Equi-join in which null keys match null keys, clashing right columns get `_<table>`."""
+    """Equi-join in which null keys match null keys, clashing right columns get `_<table>`.
+
+    A full join counts its keys first and deals those of more than `rows_per_task` rows (null among them) over
+    several tasks, which the adaptive planner cannot do for it.
+    """
     if alias:
         right, right_on = right.withColumnRenamed(right_on, alias), alias
     same_key = left_on == right_on
@@ -51,9 +58,16 @@ def join_pair(
     left_tag, right_tag, right_key = "_from_left", "_from_right", "_right_key"
     tagged_left = left.withColumn(left_tag, F.lit(1))
     tagged_right = right.withColumn(right_tag, F.lit(1)).withColumnRenamed(key, right_key)
-    joined = tagged_left.join(
-        tagged_right, F.col(left_on).eqNullSafe(F.col(right_key)), _JOIN_TYPES[how]
-    )
+    kinds = [side.schema[c].dataType for side, c in ((tagged_left, left_on), (tagged_right, right_key))]
+    # Keys of unlike types are equal by a cast that counting by value cannot see; such joins are left to the planner.
+    alike = kinds[0] == kinds[1] or all(isinstance(k, T.IntegralType) for k in kinds)
+    if _JOIN_TYPES[how] == "full" and alike:
+        limit = rows_per_task or limit_of(left.sparkSession, ROWS_PER_TASK)
+        joined = _full_join(tagged_left, left_on, left_tag, tagged_right, right_key, right_tag, limit)
+    else:
+        joined = tagged_left.join(
+            tagged_right, F.col(left_on).eqNullSafe(F.col(right_key)), _JOIN_TYPES[how]
+        )
     columns = [F.col(c) for c in left.columns]
     if same_key:
         # One shared key column, as a merge on equal names gives.
@@ -74,6 +88,61 @@ def join_pair(
     return joined.select(*columns)
 
 
+def hot_keys(left: DataFrame, left_on: str, right: DataFrame, right_on: str, limit: int) -> DataFrame:
+    """Keys of more than `limit` rows on a side: parts to deal the longer side over, which side, and whether both have it.
+
+    There are at most rows / `limit` of them a side.
+    """
+    longest = F.greatest("left_rows", "right_rows")
+    return key_histogram(left, left_on, right, right_on).where(longest > limit).select(
+        F.col("key").alias("_hot_key"),
+        F.ceil(longest / limit).cast("int").alias("_parts"),
+        (F.col("left_rows") >= F.col("right_rows")).alias("_left_dealt"),
+        ((F.col("left_rows") > 0) & (F.col("right_rows") > 0)).alias("_on_both"),
+    )
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(field.dataType) for field in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _full_join(
+    left: DataFrame, left_on: str, left_tag: str, right: DataFrame, right_on: str, right_tag: str, limit: int
+) -> DataFrame:
+    """Full outer join whose hot keys meet in parts: the longer side of a key is dealt, the other one is copied to all.
+
+    Rows of a key that both sides have always match, so a copy that meets no row of its part is no unmatched row and
+    goes. The part of a row follows from its values and its input partition, not from its place there: a task that runs
+    again deals it the same way.
+    """
+    hot = cut_lineage(hot_keys(left, left_on, right, right_on, limit))
+    known = hot.count()
+    if not known:
+        return left.join(right, F.col(left_on).eqNullSafe(F.col(right_on)), "full")
+    hot = F.broadcast(hot) if known <= HOT_SENT else hot
+
+    def dealt(side: DataFrame, on: str, longer: bool) -> DataFrame:
+        values = [F.col(f.name) for f in side.schema.fields if _hashable(f.dataType)]
+        placed = side.withColumn("_own", F.xxhash64(*values, F.spark_partition_id()))
+        placed = placed.join(hot, F.col(on).eqNullSafe(F.col("_hot_key")), "left")
+        here = (F.col("_left_dealt") == F.lit(longer)) | ~F.col("_on_both")
+        one = F.array(F.pmod("_own", "_parts").cast("int"))
+        parts = F.when(F.col("_parts").isNull(), F.array(F.lit(0))).when(here, one)
+        parts = parts.otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
+        return placed.withColumn("_part", F.explode(parts)).drop("_own", "_hot_key", "_parts", "_left_dealt")
+
+    a = dealt(left, left_on, True).withColumnsRenamed({"_part": "_left_part", "_on_both": "_left_both"})
+    b = dealt(right, right_on, False).withColumnsRenamed({"_part": "_right_part", "_on_both": "_right_both"})
+    same = F.col(left_on).eqNullSafe(F.col(right_on)) & (F.col("_left_part") == F.col("_right_part"))
+    lonely = F.col(left_tag).isNull() | F.col(right_tag).isNull()
+    copy = F.coalesce("_left_both", "_right_both", F.lit(False)) & lonely
+    return a.join(b, same, "full").where(~copy).drop("_left_part", "_left_both", "_right_part", "_right_both")
+
+
 class JoinGraph:
     """Named tables and links, folded breadth-first into one lazy plan."""
 

@@ -47,6 +47,34 @@ join_query("jn2_right_join", "right", "RIGHT")
 join_query("jn2_outer_join", "outer", "FULL")
 
 
+HOT_LEFT_SQL = """(SELECT CASE WHEN l_orderkey % 2 = 0 THEN NULL WHEN l_orderkey % 10 IN (1, 3, 5) THEN 1 ELSE l_orderkey END
+        AS k, l_quantity AS quantity, 1 AS one FROM lineitem)"""
+HOT_RIGHT_SQL = """(SELECT CASE WHEN o_orderkey = (SELECT MIN(o_orderkey) FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 != 0) THEN NULL
+        ELSE o_orderkey END AS k, o_orderpriority AS priority, 1 AS one FROM orders WHERE o_orderkey % 3 != 0)"""
+
+
+@query(
+    "jn2_outer_hot_keys",
+    f"""SELECT CASE WHEN r.one IS NULL THEN 'left_only' WHEN l.one IS NULL THEN 'right_only' ELSE 'both' END AS _merge_orders,
+        COALESCE(l.k, r.k) IS NULL AS unknown, COUNT(*) AS rows, COUNT(quantity) AS items, COUNT(priority) AS found,
+        CAST(SUM(COALESCE(l.k, r.k)) AS BIGINT) AS key_sum, CAST(SUM(quantity) AS BIGINT) AS pieces
+      FROM {HOT_LEFT_SQL} l FULL JOIN {HOT_RIGHT_SQL} r ON l.k IS NOT DISTINCT FROM r.k GROUP BY ALL""",
+)
+def _(t: Tables):
+    number = F.col("l_orderkey")
+    key = F.when(number % 2 == 0, None).when((number % 10).isin(1, 3, 5), 1).otherwise(number)
+    items = t.lineitem.select(key.cast("long").alias("k"), F.col("l_quantity").alias("quantity"))
+    some = t.orders.filter("o_orderkey % 3 != 0")
+    least = some.filter("o_orderkey % 2 = 0").agg(F.min("o_orderkey").alias("least")).first()["least"]
+    some = some.select(F.nullif("o_orderkey", F.lit(least)).cast("long").alias("k"), F.col("o_orderpriority").alias("priority"))
+    # Half of the items have no key and about 30 % one key: both are dealt over several tasks at any size.
+    out = jg.join_pair(items, some, "k", "k", "orders", "outer", rows_per_task=2000)
+    return out.groupBy("_merge_orders", F.col("k").isNull().alias("unknown")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("quantity").alias("items"), F.count("priority").alias("found"),
+        F.sum("k").alias("key_sum"), F.sum("quantity").cast("long").alias("pieces"),
+    )
+
+
 @query(
     "jn3_match_indicator",
     """SELECT CASE WHEN o_custkey IS NULL THEN 'left_only' ELSE 'both' END AS _merge_orders, COUNT(*) AS rows
