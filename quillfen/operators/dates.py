@@ -24,7 +24,7 @@ SHAPES = (
     r"\d{4}-\d{2}-\d{2}", r"\d{2}/\d{2}/\d{4}", r"\d{2}-\d{2}-\d{4}", r"\d{1,2}\s+\w+\s+\d{4}",
     r"\w+\s+\d{1,2},\s+\d{4}", r"\d{8}", r"\d{6}",
 )
-_LONGEST = 80  # no format is longer, nor is ISO text with nanoseconds and the longest zone name
+_LONGEST = 80  # without the blanks around it: no format is longer, nor is ISO text with nanoseconds and the longest zone name
 
 
 def _shape(fmt: str) -> str:
@@ -43,7 +43,7 @@ def parse_as(column: Column, fmt: str) -> Column:
 
 def parse_generic(column: Column) -> Column:
     """ISO text, as the engine itself reads it."""
-    return F.when(F.length(column) <= _LONGEST, F.trim(column)).try_cast("timestamp_ntz")
+    return F.when(F.length(F.trim(column)) <= _LONGEST, F.trim(column)).try_cast("timestamp_ntz")
 
 
 def _skeleton(fmt: str) -> str:
@@ -53,7 +53,7 @@ def _skeleton(fmt: str) -> str:
 
 def parse_any(column: Column) -> Column:
     """First format that fits; the outline of a text picks the few formats worth trying."""
-    text = F.when((F.length(column) <= _LONGEST) & column.rlike(r"\d"), F.trim(column))
+    text = F.when((F.length(F.trim(column)) <= _LONGEST) & column.rlike(r"\d"), F.trim(column))
     digits = F.translate(text, "012345678", "999999999")
     outline = F.regexp_replace(digits, "[A-Za-z]+", "a")
     choices: dict[str, list[str]] = {}

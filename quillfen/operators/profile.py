@@ -298,9 +298,12 @@ BUSINESS_MEDIUM = (
     "cost", "expense", "spend", "rate", "performance", "efficiency", "productivity", "utilization", "satisfaction",
     "retention", "churn", "engagement", "frequency", "duration", "quality", "score", "metric",
 )
+# Names of columns that hold keys, secrets or bookkeeping.
 JUNK_NAMES = (
-    r"^id$|_id$|^uuid$|^guid$|^pk_|^fk_|^rowid$|^index$|^key$|^hash$|^md5$|^token$|^secret$|^password$|^ssn$|^pin$"
-    r"|^version$|^created$|^updated$|^deleted$"
+    r"^id$", r"_id$", r"^uuid$", r"^guid$", r"^pk_", r"^fk_",
+    r"^rowid$", r"^index$", r"^key$", r"^hash$", r"^md5$",
+    r"^token$", r"^secret$", r"^password$", r"^ssn$", r"^pin$",
+    r"^version$", r"^created$", r"^updated$", r"^deleted$",
 )
 
 
@@ -344,7 +347,7 @@ def date_text_shares(df: DataFrame, columns: list[str]) -> dict[str, float]:
 def is_junk(c: ColumnProfile, kind: str) -> bool:
     """Identifier-like name, or nearly unique values without a business name."""
     name = c.name.lower()
-    if re.search(JUNK_NAMES, name):
+    if any(re.search(pattern, name) for pattern in JUNK_NAMES):
         return True
     business = any(term in name for term in BUSINESS_HIGH + BUSINESS_MEDIUM)
     return c.unique_share > 0.9 and kind != "datetime" and not business

@@ -56,6 +56,7 @@ NAME_HINTS = (
     ("id", ("ssn", "social", "id", "passport", "driver", "license", "national")),
     ("financial", ("credit", "card", "account", "bank", "routing")),
 )
+# Levels of search, and the share of rows with a hit from which a column counts.
 LEVELS = ("conservative", "standard", "aggressive")
 THRESHOLDS = {"conservative": 0.05, "standard": 0.03, "aggressive": 0.01}
 # What a hit is replaced with.

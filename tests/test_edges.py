@@ -125,6 +125,9 @@ def test_dates_of_every_format(spark):
     df = spark.createDataFrame(texts, "s string")
     got = [r[0] for r in df.select(dates.parse_any(F.col("s"))).collect()]
     assert got[:6] == [day] * 6 and got[6:] == [None, None]
+    padded = spark.createDataFrame([(" " * 200 + t[0] + " " * 200,) for t in texts[:6]], "s string")
+    assert [r[0] for r in padded.select(dates.parse_any(F.col("s"))).collect()] == [day] * 6
+    assert padded.select(dates.parse_generic(F.col("s"))).first()[0] == day
 
 
 def test_split_handles_regex_delimiters(spark):
