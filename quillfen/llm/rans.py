@@ -13,23 +13,24 @@ u64 x lanes); words u32; CRC-32 u32 of all that precedes.
 from __future__ import annotations
 
 import json
+import operator
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from quillfen.llm.bpe import common_pattern
 from quillfen.llm.common import shared_folder, table, text_or_empty, worker_state
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -38,10 +39,13 @@ SCALE = 20
 LOW = np.uint64(1 << 31)
 LANES, STEPS, CHECKPOINT = 2048, 128, 64
 BLOCK_IDS = 1 << 18
-MEMO_PIECES, CHUNK_PIECES = 350_000, 200_000
-#: One match of the tokenizer's pattern in visible lower-case ASCII, where its normal form and byte mapping change nothing:
-#: such a piece goes to the merges directly.
-_PLAIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[!-/:-@\[-`{-~]+").fullmatch
+MEMO_PIECES, MERGED = 350_000, 64
+#: Characters that are split at once, and pieces that are looked up at once.
+BLOCK_CHARS, CHUNK_PIECES = 1 << 19, 1_000_000
+#: The pattern whose pieces `WordIds` finds by classes of characters.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACE, _LETTER, _DIGIT, _OTHER, _WHOLE = range(5)
+_CLASSES = ((_SPACE, r"\s"), (_LETTER, r"\p{L}"), (_DIGIT, r"\p{N}"), (_OTHER, r"[^\s\p{L}\p{N}]"))
 _HEAD = "<4sHHIQII"
 _HEAD_SIZE = struct.calcsize(_HEAD)
 
@@ -152,75 +156,148 @@ class Block:
         return self.ids_from()
 
 
+def _known(built: dict) -> bool:
+    """Whether a tokenizer normalises, splits and cuts its added tokens as `WordIds` does."""
+    normal = [n["type"] for n in (built["normalizer"] or {}).get("normalizers", [])]
+    parts = (built["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = len(parts) == 2 and parts[0].get("pattern") == {"Regex": _PATTERN} and parts[1]["type"] == "ByteLevel" and not parts[1]["use_regex"]
+    added = built["added_tokens"]
+    bare = not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")) and not any(t["content"].split() != [t["content"]] for t in added)
+    return normal == ["NFC", "Replace", "Lowercase"] and split and bare
+
+
 class WordIds:
     """Ids of whole texts, each distinct piece encoded by the tokenizer once.
 
     The tokenizer normalises (NFC, lower case), splits by its own pattern and merges within pieces. Below U+0250 the
     normal form changes nothing but ASCII capitals matter less, so such texts are split by that pattern here; any
     other text is only split at ASCII white space, which the tokenizer drops and never looks across. Before all that the
-    tokenizer cuts its added tokens, such as an end mark written out, from the text as it stands; so does `_parts`.
+    tokenizer cuts its added tokens, such as an end mark written out, from the text as it stands; so does `_runs`.
+    Texts are split many at a time, by the classes of their bytes. A vocabulary of another pattern gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.merge = self.tokenizer.model.tokenize
         self.size = self.tokenizer.get_vocab_size()
         built = json.loads(self.tokenizer.to_str())
-        splitter = built["pre_tokenizer"]["pretokenizers"][0]
+        self.known = _known(built)
         self.added = sorted((t["content"] for t in built["added_tokens"]), key=len, reverse=True)
         self.cut_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split
-        self.pieces = common_pattern(splitter["pattern"]["Regex"]).findall
-        self.beyond = re.compile("[^\x00-\u012f\u0131-\u024f]").search  # the small form of U+0130 has a mark
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, parts: set[str]) -> None:
+        self.class_of = np.array([next(c for c, known in _CLASSES if regex.fullmatch(known, chr(code))) for code in range(0x250)], np.uint8)
+        letters, digits, others = ("".join(re.escape(chr(c)) for c in np.flatnonzero(self.class_of == k) if c != 0x130) for k in (_LETTER, _DIGIT, _OTHER))
+        self.single = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{digits}]|[{others}]+").fullmatch
+        self.byte_class = bytes([*self.class_of[:128].tolist(), *[_WHOLE] * 128])
+        # The tokenizer without its pattern: for many single pieces at once, with blanks between them.
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.normalizer = normalizers.Lowercase()
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = built["model"].get("end_of_word_suffix")
+        self.last = np.array([bool(suffix) and (self.tokenizer.id_to_token(k) or "").endswith(suffix) for k in range(self.size)])
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _learn(self, parts: list[bytes]) -> None:
         if len(self.memo) > MEMO_PIECES:
             self.memo, self.older = {}, self.memo
-        new, memo, older = [], self.memo, self.older
-        for part in parts:  # a set minus the keys would walk the whole memo
-            if part not in memo:
-                known = older.get(part)
-                if known is None:
-                    new.append(part)
-                else:
-                    memo[part] = known
-        rest = []
-        for part in new:
-            if _PLAIN(part):
-                ids = [token.id for token in self.merge(part)]
-                self.memo[part] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                rest.append(part)
+        memo, older = self.memo, self.older
+        absent = [part for part in parts if part not in memo]
+        new = [part for part in absent if part not in older]
+        memo.update((part, older[part]) for part in absent if part in older)
+        words = b" ".join(new).decode().split(" ") if new else []  # no piece holds a blank
+        fits = list(map(self.single, words))
+        single, keys = list(compress(words, fits)), list(compress(new, fits))
+        rest, others = [list(compress(x, map(operator.not_, fits))) for x in (words, new)]
+        rows = [" ".join(single[k : k + MERGED]) for k in range(0, len(single), MERGED)]
+        some = (self.merger.encode_batch_fast(rows[k : k + MERGED], add_special_tokens=False) for k in range(0, len(rows), MERGED))
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array([i for e in made for i in e.ids], "<u4") for made in some)])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(single):
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            memo.update(zip(keys, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        else:  # a vocabulary that does not mark the ends of words
+            rest, others = words, new
         made = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
-        self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, made, strict=True))
-
-    def _parts(self, text: str) -> list[str]:
-        if any(token in text for token in self.added):
-            return [p for k, run in enumerate(self.cut_added(text)) for p in ([run] if k % 2 else self._plain_parts(run))]
-        return self._plain_parts(text)
-
-    def _plain_parts(self, text: str) -> list[str]:
-        data = text.encode()
-        if self.beyond(text):
-            return [word.decode() for word in data.split()]
-        return self.pieces(data.lower().decode())  # lowers ASCII capitals only
+        memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(others, made, strict=True))
+
+    def _runs(self, text: str) -> list[str]:
+        """Runs of plain text at even places, added tokens at odd ones."""
+        return self.cut_added(text) if any(token in text for token in self.added) else [text]
+
+    def _pieces(self, runs: list[bytes], whole: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The pieces of all runs, and the number of pieces before each run and in all.
+
+        Runs marked `whole`, or with characters beyond the classes, are split at ASCII white space only.
+        """
+        data = b"\n".join(runs) + b"\n\n"
+        heads = np.concatenate([[0], np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)) + 1)])
+        raw, low = np.frombuffer(data, np.uint8), np.frombuffer(bytearray(data.lower()), np.uint8)  # ASCII capitals only
+        kind = np.frombuffer(bytearray(data.translate(self.byte_class)), np.uint8)
+        lead = np.flatnonzero(raw >= 0xC2)
+        if len(lead):
+            code = np.where(raw[lead] < 0xE0, (raw[lead] & 31).astype(np.int64) << 6 | raw[lead + 1] & 63, 0x250)
+            run = np.searchsorted(heads, lead, "right") - 1
+            whole = whole.copy()
+            whole[run[(code >= 0x250) | (code == 0x130)]] = True
+            plain = ~whole[run]
+            lead, code = lead[plain], code[plain]
+            kind[lead] = kind[lead + 1] = self.class_of[code]
+        for k in np.flatnonzero(whole):
+            own = slice(heads[k], heads[k + 1])
+            low[own] = raw[own]
+            kind[own][kind[own] != _SPACE] = _WHOLE
+        first = kind == _DIGIT
+        first[0] = True
+        first[1:] |= kind[1:] != kind[:-1]
+        first[lead + 1] = False
+        mark = np.flatnonzero(low == ord("'"))
+        mark = mark[(kind[mark] == _OTHER) & first[mark]]  # such a quote may begin an ending: 's 't 'm 'd 're 've 'll
+        one, two = low[mark + 1], low[mark + 1].astype(np.int64) << 8 | low[np.minimum(mark + 2, len(low) - 1)]
+        short = np.isin(one, list(b"stmd"))
+        for own, size in ((mark[short], 2), (mark[~short & np.isin(two, [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")])], 3)):
+            first[own + 1] = False
+            first[own + size] = True
+        kept = kind != _SPACE
+        text, starts = low[kept], np.flatnonzero(first[kept])
+        before = np.searchsorted(np.flatnonzero(first & kept), heads)
+        offsets = np.append(starts, len(text)).astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(text)]), before
 
     def of(self, texts: list[str], end: int) -> Iterator[bytes]:
         """The ids of every text with the end id, as little-endian unsigned 32-bit integers."""
         tail = end.to_bytes(4, "little")
-        held: list[list[str]] = []
-        count = 0
+        if not self.known:
+            yield from (np.array(e.ids, "<u4").tobytes() + tail for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+            return
+        held: list[tuple[pa.LargeBinaryArray, np.ndarray, list[int]]] = []
+        block: list[list[str]] = []
+        count = chars = 0
         for n, text in enumerate(texts):
-            held.append(self._parts(text))
-            count += len(held[-1])
-            if count >= CHUNK_PIECES or n + 1 == len(texts):
-                self._learn(set().union(*held))
-                for parts in held:
-                    yield b"".join(map(self.memo.__getitem__, parts)) + tail
+            block.append(self._runs(text))
+            chars += len(text)
+            ended = n + 1 == len(texts)
+            if chars >= BLOCK_CHARS or ended:
+                whole = np.array([k % 2 == 1 for runs in block for k in range(len(runs))])
+                held.append((*self._pieces([run.encode() for runs in block for run in runs], whole), list(map(len, block))))
+                count, block, chars = count + len(held[-1][0]), [], 0
+            if held and (count >= CHUNK_PIECES or ended):
+                yield from self._coded(held, tail)
                 held, count = [], 0
 
+    def _coded(self, held: list[tuple[pa.LargeBinaryArray, np.ndarray, list[int]]], tail: bytes) -> Iterator[bytes]:
+        coded = pa.concat_arrays([pieces for pieces, _, _ in held]).dictionary_encode()
+        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(parts)
+        ids = pa.array(map(self.memo.__getitem__, parts), pa.large_binary(), size=len(parts)).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        offsets, data = np.frombuffer(offsets, np.int64) if len(ids) else np.zeros(1, np.int64), memoryview(data or b"")
+        first = 0
+        for pieces, before, sizes in held:
+            places = offsets[first + before[np.cumsum([0, *sizes])]].tolist()
+            first += len(pieces)
+            for a, b in zip(places, places[1:], strict=False):
+                yield bytes(data[a:b]) + tail
+
 
 def _words(path: str) -> WordIds:
     return worker_state(f"word_ids:{path}", lambda: WordIds(path))
