@@ -39,7 +39,7 @@ SCALE = 20
 LOW = np.uint64(1 << 31)
 LANES, STEPS, CHECKPOINT = 2048, 128, 64
 BLOCK_IDS = 1 << 18
-MEMO_PIECES, MERGED = 350_000, 64
+MEMO_PIECES, NEW_PIECES, MERGED = 350_000, 50_000, 64
 #: Characters that are split at once, and pieces that are looked up at once.
 BLOCK_CHARS, CHUNK_PIECES = 1 << 19, 1_000_000
 #: The pattern whose pieces `WordIds` finds by classes of characters.
@@ -204,8 +204,12 @@ class WordIds:
         absent = [part for part in parts if part not in memo]
         new = [part for part in absent if part not in older]
         memo.update((part, older[part]) for part in absent if part in older)
-        words = b" ".join(new).decode().split(" ") if new else []  # no piece holds a blank
-        fits = list(map(self.single, words))
+        for k in range(0, len(new), NEW_PIECES):
+            self._encode(new[k : k + NEW_PIECES])
+
+    def _encode(self, new: list[bytes]) -> None:
+        memo, words = self.memo, b" ".join(new).decode().split(" ")  # no piece holds a blank
+        fits = [self.single(word) is not None for word in words]
         single, keys = list(compress(words, fits)), list(compress(new, fits))
         rest, others = [list(compress(x, map(operator.not_, fits))) for x in (words, new)]
         rows = [" ".join(single[k : k + MERGED]) for k in range(0, len(single), MERGED)]
@@ -242,10 +246,10 @@ class WordIds:
             plain = ~whole[run]
             lead, code = lead[plain], code[plain]
             kind[lead] = kind[lead + 1] = self.class_of[code]
-        for k in np.flatnonzero(whole):
-            own = slice(heads[k], heads[k + 1])
+        if whole.any():
+            own = np.repeat(np.append(whole, False), np.append(np.diff(heads), 1))
             low[own] = raw[own]
-            kind[own][kind[own] != _SPACE] = _WHOLE
+            kind[own & (kind != _SPACE)] = _WHOLE
         first = kind == _DIGIT
         first[0] = True
         first[1:] |= kind[1:] != kind[:-1]
